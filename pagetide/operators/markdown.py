@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-import sys
 from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetide.config import Markdown
-from pagetide.functions import markup
 from pagetide.functions.markdown_rules import mark_code_languages, tidy_markdown
 from pagetide.functions.markup import MARKUP, attributes, scan
 from pagetide.functions.text import fingerprint
@@ -236,10 +233,6 @@ def to_markdown(html: str, base: str, options: Markdown) -> str:
     return "".join(page.out)
 
 
-for _module in (markup, sys.modules[__name__]):
-    cloudpickle.register_pickle_by_value(_module)
-
-
 def markdown_of(html: Column, base_url: Column, options: Markdown = Markdown()) -> Column:
     """Markdown of an HTML column; relative links are resolved against `base_url`. NULL or empty gives ''."""
 

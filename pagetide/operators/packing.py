@@ -9,11 +9,9 @@ never text, and no task holds more than `fan_in` step functions or one block of
 
 from __future__ import annotations
 
-import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +102,6 @@ def _steps_table(child: int, step) -> pa.Table:
     return pa.Table.from_arrays(columns, names=["child", "total", "lows", "cuts", "outs"])
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def assign_shards(rows: DataFrame, pack: Pack = Pack()) -> DataFrame:
     """Shard number (from 1) per row of (seq, nbytes), rows taken in `seq` order; seq must be unique."""
     limit, fan = pack.max_bytes, pack.fan_in

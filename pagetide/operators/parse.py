@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from html import unescape
 from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetide.config import Extract, Scope
-from pagetide.functions import gates, markup
+from pagetide.functions import gates
 from pagetide.functions.markup import MARKUP, attributes, is_empty_element, scan
 from pagetide.functions.text import clean_html, fingerprint, strip
 
@@ -131,11 +129,6 @@ def read_page(html: str, url: str, mode: str, want_links: bool = True) -> tuple:
     return title, named.get("description", ""), named.get("robots", ""), content, list(links.values())
 
 
-# Workers get these functions by value, so executors need no copy of the package.
-for _module in (markup, sys.modules[__name__]):
-    cloudpickle.register_pickle_by_value(_module)
-
-
 def parse_pages(observations: DataFrame, extract: Extract = Extract(), want_links: bool = True) -> DataFrame:
     """Replace `body` by the parsed fields. Each body is sent to Python and scanned once.
 
