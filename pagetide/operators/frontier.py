@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.config import Refresh, Scope
 from pagetide.functions.gates import may_follow, recrawl_due, visitable_type
 from pagetide.functions.urls import authority, domain_suffixes, same_domain, url_key
-from pagetide.operators.skew import Hot, hot_keys, spread_join
-from pagetide.session import stage
+from pagetide.operators.skew import SALTS, Hot, hot_keys, spread_join
+from pagetide.session import shared_dir, stage
 
 REQUEST = r"(?s)#.*"
 
 
+def _extracted(url: Column, scope: Scope) -> Column:
+    return same_domain(url, scope.domains, include_subdomains=True) & visitable_type(url, scope)
+
+
 def page_links(pages: DataFrame, scope: Scope | None = None) -> DataFrame:
     """One row per page and distinct link: src_url, url (as written, resolved), text, rel.
 
     With a scope, only links into its domains (subdomains included) that do not point to binary files remain.
     """
     links = pages.select(F.col("page_url").alias("src_url"), F.inline("links"))
-    if scope is None:
-        return links
-    return links.filter(
-        same_domain(F.col("url"), scope.domains, include_subdomains=True) & visitable_type(F.col("url"), scope)
-    )
+    return links if scope is None else links.filter(_extracted(F.col("url"), scope))
 
 
 def link_counts(pages: DataFrame, scope: Scope | None = None) -> DataFrame:
     """Number of distinct links per page."""
-    if scope is None:
-        return pages.select(F.col("page_url").alias("src_url"), F.size("links").cast("bigint").alias("n_links"))
-    return page_links(pages, scope).groupBy("src_url").agg(F.count("*").alias("n_links"))
+    links = F.col("links") if scope is None else F.filter("links", lambda link: _extracted(link["url"], scope))
+    return pages.select("seq", F.col("page_url").alias("src_url"), F.size(links).alias("n_links"))
 
 
 def followable(links: DataFrame, scope: Scope) -> DataFrame:
@@ -95,8 +94,6 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
     spark = edges.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot: Hot = hot_keys(edges, "src")
-    from pagetide.operators.skew import SALTS
-
     piece = F.when(hot.has(F.col("src")), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     placed = edges.select("src", "dst").distinct().withColumn("_piece", piece).repartition(n, "src", "_piece")
     placed = stage_partitioned(placed)
@@ -117,7 +114,5 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
 
 def stage_partitioned(df: DataFrame) -> DataFrame:
     """Checkpoint that keeps the hash partitioning, so that later joins on the same keys need no shuffle."""
-    from pagetide.session import shared_dir
-
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -127,9 +127,21 @@ def refresh_records_uncached(spark, sf):
     return _refresh(spark, sf, refresh=Refresh("none", 7, output_cached=False)).records
 
 
+def _refresh_with_markdown(spark, sf):
+    pages = _pages(spark, sf)
+    raw = observations.pages_as_observations(spread_small(pages), corpus.AS_OF)
+    options = Markdown(enabled=True)
+    return refresh_job(raw, corpus.derived_registry(pages), OFF, WEEK, markdown=options, frontier=False)
+
+
 def refresh_records_markdown(spark, sf):
-    records = _refresh(spark, sf, markdown=Markdown(enabled=True)).records
-    return records.select("url", "content_status", "content_hash", "crawled_at", "markdown_hash", "markdown_length")
+    return _refresh_with_markdown(spark, sf).records.select(
+        "url", "content_status", "content_hash", "crawled_at", "markdown_content", "markdown_hash", "markdown_length"
+    )
+
+
+def registry_after_markdown(spark, sf):
+    return _refresh_with_markdown(spark, sf).registry
 
 
 def registry_after_refresh(spark, sf):
@@ -335,8 +347,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         url_keys, clean_fingerprint, main_content, body_content, page_metadata, robots_scope, recrawl_due,
-        change_labels, refresh_records, refresh_records_uncached, refresh_records_markdown, registry_after_refresh,
-        registry_upsert, registry_history, registry_after_visits, registry_fold, crawl_stats, crawl_stats_by_site,
+        change_labels, refresh_records, refresh_records_uncached, refresh_records_markdown, registry_after_markdown,
+        registry_after_refresh, registry_upsert, registry_history, registry_after_visits, registry_fold, crawl_stats, crawl_stats_by_site,
         recent_pages, duplicate_content, duplicate_members, page_links, link_counts, scope_links, next_urls,
         reachable, byte_chunks, shard_pack, shard_manifest, entries_combined, entry_counts, jsonl_scan,
         jsonl_skipped, markdown_post, code_languages, markdown_corpus, page_decode, incremental_refresh,

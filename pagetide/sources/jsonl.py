@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ENTRY = "url STRING, title STRING, markdown_content STRING"
-
-
-def line_problem(line: Column) -> Column:
-    """Why a line cannot become an entry, or NULL if it can."""
-    keys = F.json_object_keys(line)
-    # json_object_keys forgives single quotes and text after the object; the two extra tests do not
-    whole = F.try_parse_json(line).isNotNull() & F.trim(line).endswith("}")
-    return (
-        F.when(F.try_parse_json(line).isNull(), "invalid json")
-        .when(keys.isNull() | ~F.coalesce(whole, F.lit(False)), F.when(F.trim(line).endswith("}"), "invalid json").otherwise("not an object"))
-        .when(~F.array_contains(keys, "markdown_content"), "no markdown_content")
-    )
+STRICT = {"allowSingleQuotes": "false"}
+FIELDS = ("url", "title", "markdown_content")
 
 
 def read_entries(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(entries, skipped lines with a reason). Other columns, such as an order column, pass through."""
-    checked = lines.withColumn("reason", line_problem(F.col(line)))
-    entry = F.from_json(F.col(line), ENTRY)
+    """(entries, skipped lines with a reason). Other columns, such as an order column, pass through.
+
+    A line counts only if it is one whole JSON object with the key markdown_content; its value may be null. Text after
+    the object breaks one of the two wrappings in which the line is parsed.
+    """
+    text = F.col(line)
+    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x map<string,string>", STRICT)
     rest = [c for c in lines.columns if c != line]
-    good = checked.filter("reason IS NULL").withColumn("_e", entry).select(*rest, "_e.*")
-    bad = checked.filter("reason IS NOT NULL")
-    return good, bad
+    parsed = lines.withColumn("_n", F.size(in_list)).withColumn("_o", in_object["x"])
+    first_char = F.substring(F.ltrim(text), 1, 1)
+    reason = (
+        F.when(F.coalesce(F.col("_n"), F.lit(0)) != 1, "invalid json")
+        .when(F.col("_o").isNull(), F.when(first_char == "{", "invalid json").otherwise("not an object"))
+        .when(~F.map_contains_key("_o", "markdown_content"), "no markdown_content")
+    )
+    checked = parsed.withColumn("reason", reason)
+    good = checked.filter("reason IS NULL").select(*rest, *(F.col("_o")[f].alias(f) for f in FIELDS))
+    return good, checked.filter("reason IS NOT NULL").drop("_n", "_o")
