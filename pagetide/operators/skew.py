@@ -29,8 +29,8 @@ class Hot:
         return F.coalesce(col.isin(*self.keys), F.lit(False))
 
 
-def hot_keys(df: DataFrame, key: str | Column, smallest: int = SMALLEST) -> Hot:
-    """Keys that hold more than 1/SHARE of the rows and more than `smallest` rows."""
+def hot_keys(df: DataFrame, key: str | Column, smallest: int | None = None) -> Hot:
+    """Keys that hold more than 1/SHARE of the rows and more than `smallest` rows (SMALLEST if not given)."""
     col = F.col(key) if isinstance(key, str) else key
     row = (
         df.select(col.alias("k"))
@@ -38,7 +38,7 @@ def hot_keys(df: DataFrame, key: str | Column, smallest: int = SMALLEST) -> Hot:
         .agg(F.expr(f"approx_top_k(k, {SHARE}, {TRACKED})").alias("top"), F.count("*").alias("n"))
         .first()
     )
-    floor = max(smallest, (row["n"] or 0) // SHARE)
+    floor = max(SMALLEST if smallest is None else smallest, row["n"] // SHARE)
     return Hot(tuple(sorted(t["item"] for t in row["top"] or [] if t["count"] > floor)))
 
 

@@ -32,13 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without that setting (tests, a laptop) falls back to a fresh local folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    folder = tempfile.mkdtemp(prefix="pagetide-")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagetide-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -48,7 +47,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     reader that needs only narrow columns never touches the page text again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
