@@ -228,6 +228,9 @@ def to_markdown(html: str, base: str, options: Markdown) -> str:
                 page.close(name)
     if hidden is None:
         page.text(MARKUP.sub("", html[pos:]))
+    if page.pre:
+        page.pre = 1
+        page.close("pre")
     while page.tables:
         page.close("table")
     return "".join(page.out)

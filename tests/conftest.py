@@ -12,7 +12,7 @@ from pagetide.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(
-        8, "tests", **{"spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false"}
+        8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
