@@ -159,13 +159,16 @@ def registry_after_refresh(spark, sf):
 def registry_upsert(spark, sf):
     pages = _spread_pages(spark, sf)
     n = F.col("page_id")
-    batch = pages.filter("page_id % 3 <> 1").select(
+    rows = pages.filter("page_id % 3 <> 1").select(
+        "page_id",
         urls.url_key(F.col("url")).alias("url"),
         F.lit(corpus.AS_OF).cast("timestamp_ntz").alias("observed_at"),
         corpus.article_hash(pages).alias("content_hash"),
         F.when(n % 4 == 0, F.concat(F.lit("md-"), n.cast("string"))).when(n % 4 == 1, "md-new").alias("markdown_hash"),
         F.lit(200).alias("status"),
     )
+    # an upsert takes one visit per url
+    batch = rows.groupBy("url").agg(F.max_by(F.struct(*rows.columns[2:]), "page_id").alias("v")).select("url", "v.*")
     return registry.upsert(corpus.derived_registry(pages), batch)
 
 
