@@ -18,7 +18,8 @@ def byte_chunks(documents: DataFrame, chunk: Chunk = Chunk(), key: str = "doc_id
         raw = F.encode(raw, "UTF-8")
     size = F.lit(chunk.bytes)
     numbers = F.sequence(F.lit(1), F.ceil(F.octet_length("_b") / size).cast("int"))
-    parts = documents.select(key, raw.alias("_b")).filter(F.octet_length("_b") > 0)
+    # the filter counts bytes without encoding, so that each document is encoded once
+    parts = documents.filter(F.octet_length(body) > 0).select(key, raw.alias("_b"))
     return parts.select(key, "_b", F.explode(numbers).alias("part")).select(
         key,
         "part",

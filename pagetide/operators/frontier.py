@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.config import Refresh, Scope
 from pagetide.functions.gates import may_follow, recrawl_due, visitable_type
 from pagetide.functions.urls import authority, domain_suffixes, same_domain, url_key
-from pagetide.operators.skew import SALTS, Hot, hot_keys, spread_join
-from pagetide.session import shared_dir, stage
+from pagetide.operators.skew import SALTS, hot_keys, spread_join
+from pagetide.session import shared_dir
 
 REQUEST = r"(?s)#.*"
 
@@ -89,30 +91,29 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
     """Urls reachable from the seeds over edges (src, dst), with their smallest number of hops.
 
     Edges are shuffled by source once and stay in place; each hop moves only the new urls and is written to the
-    shared folder, so the lineage of a hop is one read. Ends when a hop finds nothing new.
+    shared folder, so the lineage of a hop is one read. Ends when a hop finds nothing new. To follow only urls that
+    are due, leave the edges to other urls out.
     """
     spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/stage/reach-{uuid.uuid4().hex}"
+
+    def keep(urls: DataFrame, hop: int) -> DataFrame:
+        urls.select("url").write.parquet(f"{folder}/hop={hop}")
+        return spark.read.schema("url STRING").parquet(f"{folder}/hop={hop}")
+
+    hot = hot_keys(edges, "src")
+    source, salt = F.col("src"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot: Hot = hot_keys(edges, "src")
-    piece = F.when(hot.has(F.col("src")), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    placed = edges.select("src", "dst").distinct().withColumn("_piece", piece).repartition(n, "src", "_piece")
-    placed = stage_partitioned(placed)
-    frontier = stage(seeds.select("url").distinct().withColumn("hop", F.lit(0)), "hop")
-    visited = frontier
-    hop = 0
-    while max_hops is None or hop < max_hops:
+    keys = ["src", "_piece"] if hot.keys else ["src"]
+    placed = edges.select("src", "dst", F.when(hot.has(source), salt).otherwise(F.lit(0)).alias("_piece"))
+    # the checkpoint keeps the hash partitioning, so no hop shuffles the edges again
+    placed = placed.select("dst", *keys).repartition(n, *keys).checkpoint()
+    front, hop = keep(seeds.select("url").distinct(), 0), 0
+    while not front.isEmpty() and (max_hops is None or hop < max_hops):
         hop += 1
-        pieces = F.when(hot.has(F.col("url")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        front = frontier.select(F.col("url").alias("src"), F.explode(pieces).alias("_piece"))
-        found = placed.join(front, ["src", "_piece"]).select(F.col("dst").alias("url")).distinct()
-        frontier = stage(found.join(visited, "url", "left_anti").withColumn("hop", F.lit(hop)), "hop")
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return visited
-
-
-def stage_partitioned(df: DataFrame) -> DataFrame:
-    """Checkpoint that keeps the hash partitioning, so that later joins on the same keys need no shuffle."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+        url = F.col("url")
+        pieces = F.when(hot.has(url), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        starts = front.select(url.alias("src"), F.explode(pieces).alias("_piece"))
+        found = placed.join(starts, keys).select(F.col("dst").alias("url")).distinct()
+        front = keep(found.join(spark.read.schema("url STRING, hop INT").parquet(folder), "url", "left_anti"), hop)
+    return spark.read.schema("url STRING, hop INT").parquet(folder)

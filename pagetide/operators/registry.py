@@ -108,9 +108,7 @@ def _later_rounds(df: DataFrame, wait: Column, hot: Hot) -> DataFrame:
             (F.col("seq") > F.col("_seq")) & (F.col("observed_at") >= F.col("_at") + wait)
         )
         turn = stage(
-            later.groupBy("url")
-            .agg(F.min(F.struct("seq", "observed_at")).alias("m"))
-            .select("url", F.col("m.seq").alias("_seq"), F.col("m.observed_at").alias("_at")),
+            later.groupBy("url").agg(F.min("seq").alias("_seq"), F.min_by("observed_at", "seq").alias("_at")),
             "turn",
         )
         if turn.isEmpty():

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pagetide.config import Pack
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-BOUNDS_LIMIT = 4_000_000  # shard bounds kept in the tasks: 32 MB
 
 
 def write_records(records: DataFrame, path: str) -> None:
