@@ -60,6 +60,8 @@ class Refresh:
     def __post_init__(self):
         if self.mode not in REFRESH_MODES:
             raise ValueError(f"refresh mode must be one of {REFRESH_MODES}, not {self.mode!r}")
+        if self.days < 0:
+            raise ValueError("refresh days must not be negative")
 
 
 @dataclass(frozen=True)

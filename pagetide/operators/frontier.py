@@ -11,7 +11,7 @@ from pagetide.config import Refresh, Scope
 from pagetide.functions.gates import may_follow, recrawl_due, visitable_type
 from pagetide.functions.urls import authority, domain_suffixes, same_domain, url_key
 from pagetide.operators.skew import SALTS, hot_keys, spread_join
-from pagetide.session import shared_dir
+from pagetide.session import keep_partitioned, shared_dir
 
 REQUEST = r"(?s)#.*"
 
@@ -106,8 +106,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["src", "_piece"] if hot.keys else ["src"]
     placed = edges.select("src", "dst", F.when(hot.has(source), salt).otherwise(F.lit(0)).alias("_piece"))
-    # the checkpoint keeps the hash partitioning, so no hop shuffles the edges again
-    placed = placed.select("dst", *keys).repartition(n, *keys).checkpoint()
+    placed = keep_partitioned(placed.select("dst", *keys).repartition(n, *keys))
     front, hop = keep(seeds.select("url").distinct(), 0), 0
     while not front.isEmpty() and (max_hops is None or hop < max_hops):
         hop += 1

@@ -58,7 +58,7 @@ def decide(observations: DataFrame, registry: DataFrame, refresh: Refresh, hot:
     elif refresh.mode == "none":
         order = order.before(F.col("seq"), "_first")
         order = order._with(order.df.withColumn("is_fresh", ~ready & F.col("_first").isNull()).drop("_first"))
-    elif refresh.days <= 0:
+    elif refresh.days == 0:
         order = order.max_before(now, "_seen")
         latest = F.greatest(since, F.col("_seen"))
         order = order._with(order.df.withColumn("is_fresh", F.coalesce(now >= latest, F.lit(True))).drop("_seen"))

@@ -53,3 +53,19 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_partitioned(df: DataFrame) -> DataFrame:
+    """Checkpoint of a frame that was repartitioned by keys; later joins on these keys need no shuffle of it.
+
+    The plan must be final for Spark to remember the partitioning, so it is not re-planned at run time.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    setting = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(setting, before)

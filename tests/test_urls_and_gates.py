@@ -150,7 +150,7 @@ def test_strip(spark):
 
 
 def test_settings():
-    for wrong in (lambda: Refresh("sometimes"), lambda: Extract("x"), lambda: Markdown(heading_style="y")):
+    for wrong in (lambda: Refresh("sometimes"), lambda: Extract("x"), lambda: Markdown(heading_style="y"), lambda: Refresh(days=-1)):
         with pytest.raises(ValueError):
             wrong()
     assert Scope.of(seeds="https://a.example.com/x?y").domains == ("a.example.com",)
