@@ -6,10 +6,12 @@ plain path, so data without hot keys pays one pass over one narrow column and no
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARE = 1_000  # a key is hot when it holds more than 1/SHARE of the rows, so there are fewer than SHARE hot keys
 TRACKED = 10_000  # counters of the sketch; it misses no key above about 2/TRACKED of the rows
@@ -81,12 +83,26 @@ class KeyedOrder:
             .groupBy(key)
             .agg(F.percentile_approx(order, [i / SALTS for i in range(1, SALTS)], 10_000).alias("_bounds"))
         )
-        small = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-        at_or_below = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
+        # two levels, so that a row is compared with about 2 * sqrt(SALTS) bounds
+        width = math.isqrt(SALTS) + 1
+        rows = []
+        for value, cuts in bounds.collect():
+            fine = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+            rows.append((value, [group[-1] for group in fine], fine + [[]]))
+        key_type, cut_type = bounds.schema[key].dataType, bounds.schema["_bounds"].dataType
+        schema = T.StructType().add(key, key_type).add("_coarse", cut_type).add("_fine", T.ArrayType(cut_type))
+        small = df.sparkSession.createDataFrame(rows, schema)
+        passed = lambda cuts: F.size(F.filter(cuts, lambda cut: cut <= F.col(order)))
         self.df = (
             df.join(F.broadcast(small), key, "left")
-            .withColumn("_blk", F.coalesce(F.when(F.col("_bounds").isNotNull(), at_or_below), F.lit(0)))
-            .drop("_bounds")
+            .withColumn("_group", passed(F.col("_coarse")))
+            .withColumn(
+                "_blk",
+                F.when(F.col("_coarse").isNull(), 0).otherwise(
+                    F.col("_group") * width + passed(F.element_at("_fine", F.col("_group") + 1))
+                ),
+            )
+            .drop("_coarse", "_fine", "_group")
         )
 
     def _scan(self, name: str, value: Column, fold, summary: Column, merge, upto: int) -> KeyedOrder:
