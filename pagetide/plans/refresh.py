@@ -12,7 +12,7 @@ from pagetide.operators.frontier import page_links, plan_frontier
 from pagetide.operators.markdown import add_markdown
 from pagetide.operators.parse import page_records
 from pagetide.operators.registry import decide, upsert_visits
-from pagetide.operators.skew import Hot, hot_keys, spread_join
+from pagetide.operators.skew import hot_keys, spread_join
 from pagetide.session import stage
 from pagetide.sources.observations import as_observations, split_rejects
 
@@ -50,7 +50,7 @@ def _shown(fresh: str | Column, cached: str | Column) -> Column:
     return F.when(F.col("is_fresh"), as_col(fresh)).otherwise(as_col(cached))
 
 
-def emit(pages: DataFrame, decisions: DataFrame, markdown: Markdown, hot: Hot) -> DataFrame:
+def emit(pages: DataFrame, decisions: DataFrame, markdown: Markdown) -> DataFrame:
     """Rows that will be emitted, with text, decision columns and, if switched on, Markdown.
 
     The gate comes first, so suppressed pages are never converted. Page text moves once, in the join on seq.
@@ -60,7 +60,7 @@ def emit(pages: DataFrame, decisions: DataFrame, markdown: Markdown, hot: Hot) -
     return add_markdown(rows, options=markdown) if markdown.enabled else rows
 
 
-def as_records(emitted: DataFrame, markdown: Markdown, hot: Hot) -> DataFrame:
+def as_records(emitted: DataFrame, markdown: Markdown) -> DataFrame:
     """Page records: fresh values for pages taken over, registry values for pages shown from the registry."""
     out = emitted
     if markdown.enabled:
@@ -104,7 +104,7 @@ def refresh_job(
     narrow = pages.select("url", "seq", "observed_at", "content_hash", "status")
     hot = hot_keys(narrow, "url")
     decisions = stage(decide(narrow, registry, refresh, hot), "decisions")
-    emitted = emit(pages, decisions, markdown, hot)
+    emitted = emit(pages, decisions, markdown)
     if markdown.enabled:
         emitted = stage(emitted, "emitted")
         hashes = emitted.filter("is_fresh").select("url", "seq", "observed_at", "content_hash", "markdown_hash", "status")
@@ -118,4 +118,4 @@ def refresh_job(
             raise ValueError("planning the frontier needs as_of")
         after = stage(after, "registry")
         planned = plan_frontier(page_links(pages), after, scope, refresh, as_of, seen=pages)
-    return RefreshResult(as_records(emitted, markdown, hot), after, planned, rejects, hashes, pages)
+    return RefreshResult(as_records(emitted, markdown), after, planned, rejects, hashes, pages)
