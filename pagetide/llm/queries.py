@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, quality, simhash
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, quality, simhash
 from pagetide.llm.shared import remainder, table
 
 
@@ -30,6 +30,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "lang_pred", "score", "bits", "rejected")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, known).withColumn("text_hash", F.xxhash64("text")).drop("text")
+    decoded = pieces.decode(encoded, known)
+    return decoded.select(
+        "doc_id", "n_ids", "chunks", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.xxhash64("decoded").eqNullSafe(F.col("text_hash")).alias("round_trip"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -43,7 +54,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op9_quality_rules, op10_lm_scoring)
+    for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE}
