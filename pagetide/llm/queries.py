@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, quality, simhash
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash
 from pagetide.llm.shared import remainder, table
 
 
@@ -41,6 +41,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_replaced", "text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op9_quality_rules, op10_lm_scoring)
+    for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE}
