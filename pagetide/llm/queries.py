@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, toxicity
 from pagetide.llm.shared import remainder, table
 
 
@@ -19,6 +19,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    training = docs.filter("NOT held_out").join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(training), "doc_id", "held_out")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +66,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring)
+    for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE}
