@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, toxicity
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, suffix, toxicity
 from pagetide.llm.shared import remainder, table
 
 
@@ -31,6 +31,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -66,7 +70,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op6_language_id, op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring)
+    for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_language_id, op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE}
