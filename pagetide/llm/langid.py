@@ -238,19 +238,26 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return docs.select("text", *keep).mapInArrow(run, schema)
 
 
-def limits(scored: DataFrame, train: str = "trained") -> DataFrame:
-    """lang_pred, most: the cross-entropy above which a text is rejected, from all training texts of a language."""
-    q = scored.filter(f"{train} AND lang_pred <> 'und'").groupBy("lang_pred").agg(
+def limits(scored: DataFrame, model: Model) -> DataFrame:
+    """lang_pred, most: the cross-entropy above which a text is rejected, from all training texts of a language.
+
+    It lies beyond what these texts reach, and at least halfway from their median to that of letters drawn at random.
+    """
+    q = scored.filter("trained AND lang_pred <> 'und'").groupBy("lang_pred").agg(
         F.percentile_approx("bits", [0.5, 0.999], 10_000).alias("q")
     )
-    return q.select("lang_pred", (F.element_at("q", 2) + SLACK * (F.element_at("q", 2) - F.element_at("q", 1)) + 0.05).alias("most"))
+    random = F.element_at(F.create_map(*(F.lit(x) for pair in zip(model.langs, (-model.floor).tolist(), strict=True) for x in pair)), F.col("lang_pred"))
+    median, high = F.element_at("q", 1), F.element_at("q", 2)
+    return q.select("lang_pred", F.greatest(high + SLACK * (high - median), (median + random) / 2).alias("most"))
 
 
 def identify(docs: DataFrame, training: DataFrame, trained) -> DataFrame:
     """doc_id, lang_pred, score, rejected and the other figures; `trained` marks the rows of docs that were learned from."""
     model = fit(training)
     scored = stage(score(docs.withColumn("trained", trained), model, "doc_id", "trained"), "scored")
-    most = limits(scored)  # a row for each language
+    if not model.langs:
+        return scored.withColumn("rejected", F.lit(True))
+    most = limits(scored, model)  # a row for each language
     return scored.join(F.broadcast(most), "lang_pred", "left").withColumn(
         "rejected", (F.col("lang_pred") == "und") | (F.col("bits") > F.coalesce("most", F.lit(float("inf"))))
     )

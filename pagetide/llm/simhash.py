@@ -11,8 +11,7 @@ every smaller distance too.
 
 Defined results: a null or empty text has no words; its fingerprint is zero and it is linked like any other. Rows
 with the same text have the same fingerprint and class. An empty table gives an empty result. Rows with a null
-doc_id are returned with a component of null unless linked with a row that has an id. Columns other than
-doc_id and text are not looked at.
+doc_id are returned with a component of null unless linked with a row that has an id. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -69,7 +68,7 @@ def _majority(hashes: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
         return out
     begin = np.concatenate(([0], np.cumsum(count)))[some]
     for k in range(words):
-        h = hashes if k == 0 else shared.mix(hashes + U(k) * U(0x9E3779B97F4A7C15))
+        h = hashes if k == 0 else shared.mix(hashes + U(k * 0x9E3779B97F4A7C15 % 2**64))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
         set_ = (2 * ones > count[some][:, None]).astype(np.uint8)
@@ -259,19 +258,61 @@ def trie_join(leaves: DataFrame, bits: int, budget: int, most: int | None = None
     return tasks.groupBy("tab", "a", "b", "depth").applyInArrow(run, "a long, b long, bits int")
 
 
+def _with_components(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of prints (doc_id, node) with component_id, the smallest document that links lead to."""
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    names = components(links)
+    named = classes.join(names, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(smallest, "component").select("node", "component_id"), "node")
+
+
 def near_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked at `budget` or fewer bits."""
-    prints = stage(fingerprints(docs, shingle), "prints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
-    leaves = classes.select(F.lit(0).alias("tab"), F.col("fp").alias("leaf"), F.col("fp").alias("node"), "sketch")
-    links = trie_join(leaves, 64, budget)
-    names = components(links)
-    # a component is named after its smallest document
-    named = classes.join(names, classes["fp"] == names["node"], "left").select(
-        "fp", classes["node"].alias("least"), F.coalesce("component", "fp").alias("component")
+    prints = stage(fingerprints(docs, shingle).withColumn("node", F.col("fp")), "prints")
+    leaves = prints.groupBy("fp").agg(F.first("sketch").alias("sketch")).select(
+        F.lit(0).alias("tab"), F.col("fp").alias("leaf"), F.col("fp").alias("node"), "sketch"
     )
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    return _with_components(prints, trie_join(leaves, 64, budget)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+WORDS = 8  # 64-bit words of a long sketch
+TABLES = 16  # 32-bit parts of it, each with a trie of its own
+SPARE_BITS = 6  # leaves have this many bits more than the number of documents needs
+FAR = 88  # differing bits of 512: two texts with 80 of 100 shingles in common differ in 78 on average, give or take 8
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, most: int = FAR) -> DataFrame:
+    """doc_id, component_id: texts whose long sketches say that they share about 0.8 of their shingles or more.
+
+    Such texts differ in some 10 of 64 bits, too many for one trie. So sixteen tries hold some bits of different parts
+    of the sketch; nearly all similar pairs differ in at most two bits in one of them. The whole sketch then decides.
+    """
+    prints = stage(
+        fingerprints(docs, shingle, WORDS).select("doc_id", "sketch").withColumn("node", F.xxhash64("sketch")), "prints"
+    )
+    classes = stage(prints.groupBy("node").agg(F.first("sketch").alias("sketch")), "classes")
+    bits = max(16, min(32, (classes.count() or 1).bit_length() + SPARE_BITS))
+    part = lambda t: F.conv(F.hex(F.substring("sketch", 4 * t + 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+    tabs = F.array(*(F.struct(F.lit(t).alias("tab"), part(t).alias("leaf")) for t in range(TABLES)))
+    leaves = classes.select(F.explode(tabs).alias("x"), "node", "sketch").select("x.tab", "x.leaf", "node", "sketch")
+    return _with_components(prints, trie_join(leaves, bits, 2, most, 500_000)).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, most: int = FAR) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the smallest of its group; equal rows (id and text) once.
+
+    Rows with a null doc_id stay unless their text is in a group with an id.
+    """
+    found = stage(similar_classes(docs, shingle, most), "groups")
+    gone = stage(found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = stage(found.groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "again")
+    kept = shared.without(docs, gone)
+    if again.isEmpty():
+        return kept
+    is_again = kept["doc_id"].eqNullSafe(again["_again"])
+    return kept.join(again, is_again, "left_anti").unionByName(
+        kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
+    )
