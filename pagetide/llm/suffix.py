@@ -285,9 +285,12 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
 
     each = stage(pieces.mapInArrow(windows, "w1 long, w2 long, t1 long, t2 long, place int, n long"), "windows")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("all > 1").select("w1", "w2")
-    # a span for each run of neighbouring places; the places of a piece are as many as its bytes at most
+    # the places of a piece are as many as its bytes at most; a span for each run of places that reach each other
     places = each.join(twice, ["w1", "w2"]).groupBy("t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    return places.select("t1", "t2", F.transform("places", lambda p: F.struct(p.alias("a"), (p + length).alias("b"))).alias("spans"))
+    at = lambda i: F.get("places", i)
+    a = F.filter("places", lambda p, i: (i == 0) | (p - at(i - 1) > length))
+    b = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (at(i + 1) - p > length))
+    return places.select("t1", "t2", F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), (y + length).alias("b"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
