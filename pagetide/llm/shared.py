@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACES = r"[\x20\x09-\x0D]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASHES = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +109,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     order = np.flatnonzero(size <= 64)
     at, k = starts[order], 0
     while len(order):
-        out[order] = (out[order] ^ _BYTES[data[at + k]]) * _ODD
+        out[order] = (out[order] ^ BYTE_HASHES[data[at + k]]) * _ODD
         out[order] ^= out[order] >> np.uint64(29)
         k += 1
         more = size[order] > k

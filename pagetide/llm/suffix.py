@@ -44,11 +44,14 @@ U = np.uint64
 
 def _smallest(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For every place of the bytes: the hash of its gram, and the smallest such hash in the window that begins there."""
-    h, size = shared.mix(data.astype(U) + U(1)), 1
+    h, size = shared.BYTE_HASHES[data], 1
     while size < gram:  # hashes of strings of doubled, at last overlapping, length
         step = min(size, gram - size)
-        h = shared.mix(h[: len(h) - step] * U(3) + (h[step:] ^ (h[step:] << U(21))) * U(0x9E3779B97F4A7C15))
+        h = h[: len(h) - step] * U(0xD6E8FEB86659FD93) + h[step:]
+        h ^= h >> U(32)
+        h *= U(0x9E3779B97F4A7C15)
         size += step
+    h ^= h >> U(29)
     low, width, reach = h, 1, length - gram + 1
     while width < reach:
         step = min(width, reach - width)
@@ -62,7 +65,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     if len(data) < length:
         return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, U), np.zeros(0, bool))
     h, low = _smallest(data, length, gram)
-    row = np.searchsorted(offsets, np.arange(len(low)), "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
     inside = np.arange(len(low)) + length <= offsets[row + 1]
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
@@ -87,13 +90,20 @@ def _suffixes(text: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
     `text` has 0 at the end of each piece, `left` the bytes up to there. Suffixes that reach their end keep their order.
     """
     n = len(text)
-    key = np.zeros(n, U)
-    for k in range(8):
-        key[: n - k] |= np.where(left[: n - k] > k, text[k:], 0).astype(U) << U(8 * (7 - k))
-    order = np.argsort(key, kind="stable")
+    key = np.zeros(n + 8, U)
+    key[:n] = text
+    for size in (1, 2, 4):  # the next 8 bytes, with 0 behind the end of a piece
+        whole = (key[: n + 8 - size] & U(255)) > 0
+        key[: n + 8 - size] = (key[: n + 8 - size] << U(8 * size)) | np.where(whole, key[size:], 0)
+    key = key[:n]
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (left[order[1:]] < 8)
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    short = np.flatnonzero(left[order] < 8)
+    group = np.cumsum(new)[short]
+    order[short] = order[short][np.argsort((group << 32) | order[short])]
+    new[short] = True
     del key, sorted_key
     rank = np.zeros(n, np.int64)
     reach = 8
@@ -107,12 +117,16 @@ def _suffixes(text: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
         if not len(open_):
             return order
         at = order[open_]
-        both = (rank[at] << 32) | rank[at + reach]
-        sort = np.argsort(both, kind="stable")
+        if n < 1 << 21:  # three ranks fit into one key
+            both = (rank[at] << 42) | (rank[at + reach] << 21) | rank[np.minimum(at + 2 * reach, n - 1)]
+            reach *= 3
+        else:
+            both = (rank[at] << 32) | rank[at + reach]
+            reach *= 2
+        sort = np.argsort(both)
         both = both[sort]
         order[open_] = at[sort]
         new[open_[1:]] |= both[1:] != both[:-1]
-        reach *= 2
 
 
 def _parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -151,11 +165,14 @@ def _parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
             begin, width = lo[many], size[many]
             to = np.cumsum(width)
             at = np.arange(to[-1]) + np.repeat(begin - (to - width), width)
-            key = (np.repeat(np.arange(len(begin)), width) << 8) | bwt[at]
-            key, first, n_same = np.unique(key, return_index=True, return_counts=True)
-            real = (key & 255) > 0
-            new_lo.append(back[at[first[real]]])
-            new_hi.append(back[at[first[real]]] + n_same[real] - 1)
+            # sorted by interval, byte and place; the first place of each byte and how many follow it
+            key = np.sort((((np.repeat(np.arange(len(begin)), width) << 8) | bwt[at]) << 32) | at)
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] >> 32) != (key[:-1] >> 32))))
+            n_same = np.diff(np.append(first, len(key)))
+            real = ((key[first] >> 32) & 255) > 0
+            low = back[key[first[real]] & 0xFFFFFFFF]
+            new_lo.append(low)
+            new_hi.append(low + n_same[real] - 1)
         lo, hi = np.concatenate(new_lo), np.concatenate(new_hi)
         fresh = ~parted[hi + 1]
         lo, hi = lo[fresh], hi[fresh]
