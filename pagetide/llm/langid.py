@@ -26,8 +26,8 @@ from pagetide.session import stage
 
 ORDER = 4
 PAD, SPACE = 1, 32
-CHARS = 1 << 19  # characters that numpy looks at together
-PENDING = 2_000_000  # counted grams a task holds before it sends them on
+CHARS = 1 << 18  # characters that numpy looks at together
+PENDING = 1_000_000  # counted grams a task holds before it sends them on
 SLACK = 1.0  # a text is rejected above q999 + SLACK * (q999 - median) of its language
 U = np.uint64
 
@@ -86,7 +86,7 @@ def _count(docs: DataFrame) -> DataFrame:
                     [pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(c)], ["lang", "gram", "c"]
                 )
 
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             texts = shared.text_column(batch).to_pylist()
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("n_chars", "long").add("lang_pred", "string").add("bits", "double").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             texts = shared.text_column(batch).to_pylist()
             n = np.zeros(len(texts), np.int64)
             bits = np.zeros((len(texts), max(1, len(model.langs))))

@@ -20,8 +20,9 @@ ids, n_ids and chunks must not be among them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetide.llm import shared
 from pagetide.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384  # characters; texts of twice as many or more are cut
 BLOCK = 256  # chunks whose matrices are combined in one step
-REMEMBERED = 300_000  # words a worker keeps
+REMEMBERED = 200_000  # words a worker keeps
 MARK, OWN = "▁", "▁"  # a blank; OWN[0] never reaches the lattice
 NONE = float("-inf")
 
@@ -49,10 +51,8 @@ class Pieces:
     first_byte: int
     longest: int
     unknown: float
-    _words: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_words": {}}
+    begins: dict[str, float | None]  # every begin of a piece; the score if it is a piece
+    name: str  # of the model file
 
     def lattice(self, text: str, own: set[int], start: int, stop: int, ends: int) -> tuple[list[float], list[int]]:
         """Best scores of reaching each place from `start` by pieces that begin before `stop`, and the piece lengths.
@@ -62,7 +62,7 @@ class Pieces:
         n = ends - start
         best, length = [NONE] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        scores = self.scores
+        begins = self.begins
         for i in range(min(stop - start, n)):
             here = best[i]
             if here == NONE:
@@ -73,7 +73,9 @@ class Pieces:
                 for k in range(1, min(self.longest, n - i) + 1):
                     if own and k > 1 and at + k - 1 in own:
                         break
-                    score = scores.get(text[at : at + k])
+                    score = begins.get(text[at : at + k], NONE)
+                    if score == NONE:
+                        break
                     if score is not None:
                         single = single or k == 1
                         if here + score > best[i + k] or here + score == best[i + k] and k > length[i + k]:
@@ -93,19 +95,23 @@ class Pieces:
             place -= k
         return out[::-1]
 
-    def word(self, word: str) -> tuple[list[int], float]:
+    def word(self, word: str) -> tuple[array, float]:
         """Ids and score of a piece of text between two places that every path passes."""
-        found = self._words.get(word)
+        words = _words.setdefault(self.name, {})
+        found = words.get(word)
         if found is None:
             best, length = self.lattice(word, (), 0, len(word), len(word))
-            found = self.trace(word, (), 0, length, len(word)), best[-1]
+            found = array("i", self.trace(word, (), 0, length, len(word))), best[-1]
             if len(word) <= 64:
-                if len(self._words) >= REMEMBERED:
-                    self._words.clear()
-                self._words[word] = found
+                if len(words) >= REMEMBERED:
+                    words.clear()
+                words[word] = found
         return found
 
 
+_words: dict[str, dict[str, tuple[array, float]]] = {}  # of this worker, by model
+
+
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
@@ -125,7 +131,9 @@ def load(path: str = MODEL) -> Pieces:
         raise ValueError("the model has no byte pieces")
     if any(re.search(f"[^{MARK}]{MARK}", p) for p in ids):
         raise ValueError("a piece reaches over the begin of a word")
-    return Pieces(ids, scores, data, first_byte, max(map(len, ids)), min(scores.values()) - 10)
+    begins: dict[str, float | None] = {p[:k]: None for p in ids for k in range(1, len(p))}
+    begins.update(scores)
+    return Pieces(ids, scores, data, first_byte, max(map(len, ids)), min(scores.values()) - 10, begins, path)
 
 
 def _marked(text: str) -> tuple[str, set[int]]:
@@ -137,17 +145,30 @@ def _marked(text: str) -> tuple[str, set[int]]:
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int) -> tuple[list[int], float]:
-    """Ids and score of text[start:end], where both places are passed by every path."""
-    out, total = [], 0.0
+def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int) -> array:
+    """Ids of text[start:end], where both places are passed by every path."""
     if own:
-        best, length = pieces.lattice(text, own, start, end, end)
-        return pieces.trace(text, own, start, length, end - start), best[-1]
-    for word in WORD.findall(text[start:end]):
-        ids, score = pieces.word(word)
-        out += ids
-        total += score
-    return out, total
+        _, length = pieces.lattice(text, own, start, end, end)
+        return array("i", pieces.trace(text, own, start, length, end - start))
+    out = array("i")
+    known, new = _words.setdefault(pieces.name, {}).get, pieces.word
+    for word in WORD.findall(text, start, end):
+        out.extend((known(word) or new(word))[0])
+    return out
+
+
+def _score_part(pieces: Pieces, text: str, start: int, end: int) -> float:
+    """The score of these ids, for a text without marks of its own."""
+    return sum(pieces.word(word)[1] for word in WORD.findall(text, start, end))
+
+
+def _id_lists(ids: list[array | None]) -> pa.Array:
+    """An Arrow column of lists of ids."""
+    sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
+    flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if x] or [np.zeros(0, np.int32)])
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    missing = pa.array([x is None for x in ids])
+    return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=missing)
 
 
 # ---- chunks
@@ -179,7 +200,7 @@ def _matrix(pieces: Pieces, text: str, own: set[int], size: int, first: bool) ->
             best, _ = pieces.lattice(text, own, s, a, a)
             out[s, :] = best[-1]
     if a >= 0:
-        middle = _encode_part(pieces, text, own, a, b)[1]
+        middle = _score_part(pieces, text, a, b)
         best, _ = pieces.lattice(text, own, b, size, reach)
         tail = np.full(states, NONE)
         tail[: reach - size + 1] = best[size - b :]
@@ -187,17 +208,17 @@ def _matrix(pieces: Pieces, text: str, own: set[int], size: int, first: bool) ->
     return out
 
 
-def _traced(pieces: Pieces, text: str, own: set[int], size: int, s: int, t: int) -> list[int]:
+def _traced(pieces: Pieces, text: str, own: set[int], size: int, s: int, t: int) -> array:
     """Ids of the pieces that begin in the chunk, between two states."""
     a, b = _passed(text, own, pieces.longest, size)
     if a < 0:
         _, length = pieces.lattice(text, own, s, size, size + t)
-        return pieces.trace(text, own, s, length, size + t - s)
+        return array("i", pieces.trace(text, own, s, length, size + t - s))
     _, length = pieces.lattice(text, own, s, a, a)
     head = pieces.trace(text, own, s, length, a - s)
-    middle, _ = _encode_part(pieces, text, own, a, b)
     _, length = pieces.lattice(text, own, b, size, size + t)
-    return head + middle + pieces.trace(text, own, b, length, size + t - b)
+    tail = pieces.trace(text, own, b, length, size + t - b)
+    return array("i", head) + _encode_part(pieces, text, own, a, b) + array("i", tail)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,13 +275,13 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *added])
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             ids = []
             for text in column.to_pylist():
                 marked, own = _marked(text) if text else ("", ())
-                ids.append(None if text is None else _encode_part(pieces, marked, own, 0, len(marked))[0])
-            ids = pa.array(ids, pa.list_(pa.int32()))
+                ids.append(None if text is None else _encode_part(pieces, marked, own, 0, len(marked)))
+            ids = _id_lists(ids)
             n = ids.value_lengths().cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, ids, n, pa.array(np.ones(len(ids), np.int32))], [*batch.schema.names, "ids", "n_ids", "chunks"]
@@ -284,7 +305,7 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
         return text.replace(" ", MARK), own
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             uid, _, at, size, part = (c.to_pylist() for c in batch.columns)
             found = [_matrix(pieces, *opened(p), k, i == 0).tobytes() for p, k, i in zip(part, size, at, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -300,10 +321,10 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     )
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             uid, _, at, size, part, s, t = (c.to_pylist() for c in batch.columns)
             ids = [_traced(pieces, *opened(p), *x) for p, x in zip(part, zip(size, s, t, strict=True), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["uid", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _id_lists(ids)], ["uid", "chunk", "ids"])
 
     tasks = chunks.join(inside, ["uid", "chunk"]).select("uid", "n", "chunk", "size", "part", "s", "t")
     done = tasks.mapInArrow(traced, "uid long, chunk long, ids array<int>").groupBy("uid").agg(
@@ -319,7 +340,7 @@ def decode(encoded: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = pieces.data
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             out = []
             for ids in batch.column(batch.schema.get_field_index("ids")):
                 out.append(None if not ids.is_valid else b"".join([data[i] for i in ids.values.to_numpy().tolist()])[1:].decode())

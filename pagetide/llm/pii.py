@@ -250,7 +250,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         given = docs.join(maps, F.sha2("text", 256) == F.col("h"), "left").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             count = [0] * len(texts)

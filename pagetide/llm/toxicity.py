@@ -75,7 +75,7 @@ def _counts(training: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             texts = shared.text_column(batch).to_pylist()
             label = np.array(batch.column(1).to_pylist(), np.int64)
             rows += np.bincount(label, minlength=2)
@@ -142,7 +142,7 @@ def fit(training: DataFrame) -> Model:
     chosen = stage(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id")).distinct(), "sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             out = []
             for lo, hi, row, bucket in _features(shared.text_column(batch).to_pylist(), wanted):
                 out += np.split(bucket, np.searchsorted(row, np.arange(1, hi - lo)))
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = model.weight != 0
-        for batch in batches:
+        for batch in shared.few_rows(batches):
             z = np.zeros(batch.num_rows)
             for lo, hi, row, bucket in _features(shared.text_column(batch).to_pylist(), wanted):
                 z[lo:hi] = np.bincount(row, model.weight[bucket], minlength=hi - lo)
