@@ -36,7 +36,7 @@ from pagetide.session import stage
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384  # characters; texts of twice as many or more are cut
 BLOCK = 256  # chunks whose matrices are combined in one step
-REMEMBERED = 200_000  # words a worker keeps
+REMEMBERED = 150_000  # words of each of two generations that a worker keeps
 MARK, OWN = "▁", "▁"  # a blank; OWN[0] never reaches the lattice
 NONE = float("-inf")
 
@@ -97,19 +97,44 @@ class Pieces:
 
     def word(self, word: str) -> tuple[array, float]:
         """Ids and score of a piece of text between two places that every path passes."""
-        words = _words.setdefault(self.name, {})
+        words, older = _words.setdefault(self.name, ({}, {}))
         found = words.get(word)
         if found is None:
-            best, length = self.lattice(word, (), 0, len(word), len(word))
-            found = array("i", self.trace(word, (), 0, length, len(word))), best[-1]
+            found = older.get(word) or self._best(word)
             if len(word) <= 64:
                 if len(words) >= REMEMBERED:
+                    older.clear()
+                    older.update(words)
                     words.clear()
                 words[word] = found
         return found
 
+    def _best(self, word: str) -> tuple[array, float]:
+        """The lattice of one word, without marks of its own."""
+        n = len(word)
+        best, length = [NONE] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        begins, longest = self.begins.get, self.longest
+        for i in range(n):
+            here = best[i]
+            if here == NONE:
+                continue
+            if here + self.unknown > best[i + 1] and begins(word[i]) is None:
+                best[i + 1], length[i + 1] = here + self.unknown, 1
+            for j in range(i + 1, min(n, i + longest) + 1):
+                score = begins(word[i:j], NONE)
+                if score is None:
+                    continue
+                if score == NONE:
+                    break
+                score += here
+                if score > best[j] or score == best[j] and j - i > length[j]:
+                    best[j], length[j] = score, j - i
+        return array("i", self.trace(word, (), 0, length, n)), best[n]
+
 
-_words: dict[str, dict[str, tuple[array, float]]] = {}  # of this worker, by model
+# words of this worker, by model: the latest, and those before them
+_words: dict[str, tuple[dict[str, tuple[array, float]], dict[str, tuple[array, float]]]] = {}
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -151,7 +176,7 @@ def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int)
         _, length = pieces.lattice(text, own, start, end, end)
         return array("i", pieces.trace(text, own, start, length, end - start))
     out = array("i")
-    known, new = _words.setdefault(pieces.name, {}).get, pieces.word
+    known, new = _words.setdefault(pieces.name, ({}, {}))[0].get, pieces.word
     for word in WORD.findall(text, start, end):
         out.extend((known(word) or new(word))[0])
     return out
