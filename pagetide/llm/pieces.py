@@ -154,7 +154,7 @@ def load(path: str = MODEL) -> Pieces:
             data.append(piece.replace(MARK, " ").encode())
     if first_byte < 0:
         raise ValueError("the model has no byte pieces")
-    if any(re.search(f"[^{MARK}]{MARK}", p) for p in ids):
+    if any(re.search(rf"[^{MARK}]{MARK}|[{LETTER}][^\w{MARK}]", p) for p in ids):
         raise ValueError("a piece reaches over the begin of a word")
     begins: dict[str, float | None] = {p[:k]: None for p in ids for k in range(1, len(p))}
     begins.update(scores)
@@ -167,7 +167,9 @@ def _marked(text: str) -> tuple[str, set[int]]:
     return MARK + text.replace(" ", MARK), own
 
 
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# from one place that every path passes to the next: before a mark, and between a letter and what is no word character
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORD = re.compile(rf"(?=.){MARK}*[^{MARK}{LETTER}]*(?:[{LETTER}]++(?=\w)[^{MARK}{LETTER}]+)*[{LETTER}]*", re.DOTALL)
 
 
 def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int) -> array:
