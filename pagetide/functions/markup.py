@@ -17,8 +17,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 def scan(html: str):
     """Yield (start, end, closing, name, attribute text) of every tag; comments and raw text are skipped."""
-    pos = 0
-    while found := MARKUP.search(html, pos):
+    pos, last = 0, html.rfind(">") + 1  # no tag ends behind the last bracket
+    while found := MARKUP.search(html, pos, last):
         pos = found.end()
         name = found[2]
         if name is None:

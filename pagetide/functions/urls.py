@@ -49,6 +49,6 @@ def domain_suffixes(host: Column) -> Column:
 
 
 def extension(url: Column) -> Column:
-    """Lower-case file extension of the url path, or an empty string."""
-    path = F.regexp_extract(url_key(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(/.*)?$", 1)
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """Lower-case file extension of the url path, or an empty string; tar.gz counts as one."""
+    path = F.regexp_extract(F.lower(url_key(url)), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(/.*)?$", 1)
+    return F.regexp_extract(path, r"\.(tar\.gz|[^./]+)$", 1)

@@ -34,6 +34,7 @@ class _Page:
         self.out: list[str] = []
         self.breaks, self.gap = 0, False
         self.fresh = False  # a line or an item has begun and has no text yet
+        self.item = -1  # length of the output where an item has begun
         self.opening: list[str] = []  # emphasis marks whose text has not begun
         self.quote, self.quoted, self.lists = 0, 0, []
         self.links: list[tuple[str, int]] = []
@@ -82,15 +83,18 @@ class _Page:
     def open(self, name: str, a: dict):
         if self.pre and name not in ("pre", "code"):
             return
+        bare = self.item == len(self.out)  # right behind a bullet: the first block of an item stays on its line
         if name in HEADINGS:
-            self.block()
+            if not bare:
+                self.block()
             if self.options.heading_style == "setext" and HEADINGS[name] < 3:
                 self.put("")
             else:
                 self.put("#" * HEADINGS[name] + " ")
             self.heading, self.fresh = len(self.out), True
         elif name in PARAGRAPHS:
-            self.block()
+            if not bare:
+                self.block()
         elif name in MARKS:
             self.opening.append(MARKS[name])
         elif name == "br":
@@ -112,7 +116,7 @@ class _Page:
             kind = self.lists[-1] if self.lists else ["ul", 0]
             kind[1] += 1
             self.put("  " * max(len(self.lists), 1) + ("* " if kind[0] == "ul" else f"{kind[1]}. "))
-            self.fresh = True
+            self.fresh, self.item = True, len(self.out)
         elif name == "a":
             if "href" in a and not self.options.ignore_links:
                 self.put("[")

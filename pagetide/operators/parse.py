@@ -112,6 +112,11 @@ def read_page(html: str, url: str, mode: str, want_links: bool = True) -> tuple:
         except ValueError:
             pass
         site = SITE.match(root)
+        behind, follows = len(html), {}  # where the next anchor begins
+        for i in range(len(tags) - 1, -1, -1):
+            follows[i] = behind
+            if tags[i][3] == "a":
+                behind = tags[i][0]
         for i in anchors:
             a = attributes(tags[i][4])
             href = a.get("href", "").strip()
@@ -123,8 +128,7 @@ def read_page(html: str, url: str, mode: str, want_links: bool = True) -> tuple:
             if target.lower().startswith(("http://", "https://")) and target not in links:
                 text = ""
                 if tags[i][3] == "a":
-                    stop = next((t[0] for t in islice(tags, i + 1, None) if t[3] == "a"), len(html))
-                    text = _text_of(html[tags[i][1] : stop])
+                    text = _text_of(html[tags[i][1] : follows[i]])
                 links[target] = {"url": target, "text": text, "rel": a.get("rel")}
     return title, named.get("description", ""), named.get("robots", ""), content, list(links.values())
 

@@ -16,7 +16,7 @@ from pagetide.operators.markdown import add_markdown
 from pagetide.operators.parse import page_records, parse_pages
 from pagetide.operators.skew import hot_keys
 from pagetide.plans import corpus
-from pagetide.plans.refresh import refresh_job, spread_small
+from pagetide.plans.refresh import refresh_job
 from pagetide.session import shared_dir, stage
 from pagetide.sources import jsonl, observations
 from pagetide.streaming import incremental
@@ -41,16 +41,8 @@ def _documents(spark, sf):
     return corpus.table(spark, sf, "documents")
 
 
-def _spread_pages(spark, sf):
-    return spread_small(_pages(spark, sf))
-
-
-def _spread_documents(spark, sf):
-    return spread_small(_documents(spark, sf))
-
-
 def _variant_observations(spark, sf):
-    raw = corpus.as_raw(corpus.variant_pages(_spread_pages(spark, sf)))
+    raw = corpus.as_raw(corpus.variant_pages(_pages(spark, sf)))
     return observations.as_observations(raw)
 
 
@@ -69,7 +61,7 @@ def url_keys(spark, sf):
 
 
 def clean_fingerprint(spark, sf):
-    cleaned = _spread_pages(spark, sf).select("page_id", clean_html(F.col("html")).alias("c"))
+    cleaned = _pages(spark, sf).select("page_id", clean_html(F.col("html")).alias("c"))
     return cleaned.select("page_id", fingerprint(F.col("c")).alias("content_hash"), F.length("c").alias("length"))
 
 
@@ -98,7 +90,7 @@ def robots_scope(spark, sf):
 
 
 def recrawl_due(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     seen = pages.select(F.col("page_id").alias("seq"), urls.url_key(F.col("url")).alias("url"))
     known = registry.with_registry(
         seen, corpus.derived_registry(pages), ("last_crawled_at",), hot_keys(seen, "url")
@@ -109,7 +101,7 @@ def recrawl_due(spark, sf):
 
 
 def change_labels(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     seen = pages.select(
         F.col("page_id").alias("seq"),
         urls.url_key(F.col("url")).alias("url"),
@@ -121,7 +113,7 @@ def change_labels(spark, sf):
 
 
 def _refresh(spark, sf, **settings):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     raw = corpus.as_raw(corpus.variant_pages(pages))
     settings = {"scope": EVERYTHING, "refresh": WEEK, "frontier": False, **settings}
     return refresh_job(raw, corpus.derived_registry(pages), **settings)
@@ -136,7 +128,7 @@ def refresh_records_uncached(spark, sf):
 
 
 def _refresh_with_markdown(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     raw = observations.pages_as_observations(pages, corpus.AS_OF)
     options = Markdown(enabled=True)
     return refresh_job(raw, corpus.derived_registry(pages), OFF, WEEK, markdown=options, frontier=False)
@@ -157,7 +149,7 @@ def registry_after_refresh(spark, sf):
 
 
 def registry_upsert(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     n = F.col("page_id")
     rows = pages.filter("page_id % 3 <> 1").select(
         "page_id",
@@ -173,19 +165,19 @@ def registry_upsert(spark, sf):
 
 
 def registry_history(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     seen = corpus.visits(pages)
     rows = registry.history(seen, corpus.derived_registry(pages))
     return rows.select("url", "seq", "changed", "change_count")
 
 
 def registry_after_visits(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     return registry.upsert_visits(corpus.derived_registry(pages), corpus.visits(pages))
 
 
 def registry_fold(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     narrow = corpus.visits(pages).drop("markdown_hash")
     rows = registry.decide(narrow, corpus.derived_registry(pages), Refresh("auto", 5))
     return rows.select(
@@ -194,15 +186,15 @@ def registry_fold(spark, sf):
 
 
 def crawl_stats(spark, sf):
-    return registry.crawl_stats(corpus.derived_registry(_spread_pages(spark, sf)))
+    return registry.crawl_stats(corpus.derived_registry(_pages(spark, sf)))
 
 
 def crawl_stats_by_site(spark, sf):
-    return registry.crawl_stats_by_site(corpus.derived_registry(_spread_pages(spark, sf)))
+    return registry.crawl_stats_by_site(corpus.derived_registry(_pages(spark, sf)))
 
 
 def recent_pages(spark, sf):
-    return registry.recent_pages(corpus.derived_registry(_spread_pages(spark, sf)))
+    return registry.recent_pages(corpus.derived_registry(_pages(spark, sf)))
 
 
 def duplicate_content(spark, sf):
@@ -243,14 +235,14 @@ def next_urls(spark, sf):
 
 
 def reachable(spark, sf):
-    pages = _spread_pages(spark, sf)
+    pages = _pages(spark, sf)
     now = F.lit(corpus.AS_OF).cast("timestamp_ntz")
     old = corpus.derived_registry(pages)
     resting = old.filter(~gates.recrawl_due(F.lit(True), F.col("last_crawled_at"), now, WEEK)).select(
         F.col("url").alias("dst")
     )
     edges = corpus.page_edges(pages).join(resting, "dst", "left_anti").select("src", "dst")
-    seeds = pages.filter("page_id = 0").select(urls.url_key(F.col("url")).alias("url"))
+    seeds = pages.filter("page_id % 50 = 0").select(urls.url_key(F.col("url")).alias("url"))
     return frontier.reachable(edges, seeds)
 
 
@@ -279,18 +271,18 @@ def entry_counts(spark, sf):
 
 
 def jsonl_scan(spark, sf):
-    return jsonl.read_entries(corpus.document_lines(_spread_documents(spark, sf)))[0]
+    return jsonl.read_entries(corpus.document_lines(_documents(spark, sf)))[0]
 
 
 def jsonl_skipped(spark, sf):
-    return jsonl.read_entries(corpus.document_lines(_spread_documents(spark, sf)))[1].select("seq", "reason")
+    return jsonl.read_entries(corpus.document_lines(_documents(spark, sf)))[1].select("seq", "reason")
 
 
 def markdown_post(spark, sf):
     marked = F.concat(
         F.lit("```  sql\nx\n```\n\n\n\n[a b](<https://e.org/?q=1>) snake_case_name __bold__ _em_\n"), F.col("text")
     )
-    return _spread_documents(spark, sf).select("doc_id", tidy_markdown(marked, Markdown()).alias("markdown"))
+    return _documents(spark, sf).select("doc_id", tidy_markdown(marked, Markdown()).alias("markdown"))
 
 
 def code_languages(spark, sf):
@@ -301,11 +293,11 @@ def code_languages(spark, sf):
         F.regexp_replace("text", r"[<>]", " "),
         F.lit("</code></pre>"),
     )
-    return _spread_documents(spark, sf).select("doc_id", fingerprint(mark_code_languages(code, Markdown())).alias("html_hash"))
+    return _documents(spark, sf).select("doc_id", fingerprint(mark_code_languages(code, Markdown())).alias("html_hash"))
 
 
 def markdown_corpus(spark, sf):
-    raw = observations.pages_as_observations(_spread_pages(spark, sf), corpus.AS_OF)
+    raw = observations.pages_as_observations(_pages(spark, sf), corpus.AS_OF)
     records = page_records(observations.as_observations(raw), OFF, want_links=False)
     return add_markdown(records).select(
         F.col("seq").alias("page_id"), "markdown_content", "markdown_hash", "markdown_length"

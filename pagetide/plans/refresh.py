@@ -35,16 +35,6 @@ class RefreshResult:
     pages: DataFrame
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer files than cores over all cores; page parsing costs far more than this shuffle.
-
-    A large input has many files and is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
-
-
 def _shown(fresh: str | Column, cached: str | Column) -> Column:
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     return F.when(F.col("is_fresh"), as_col(fresh)).otherwise(as_col(cached))
@@ -100,7 +90,7 @@ def refresh_job(
     without url or body go to `rejects`. `as_of` is the time at which the frontier is planned.
     """
     usable, rejects = split_rejects(raw)
-    pages = stage(page_records(spread_small(as_observations(usable)), scope, extract, frontier), "pages")
+    pages = stage(page_records(as_observations(usable), scope, extract, frontier), "pages")
     narrow = pages.select("url", "seq", "observed_at", "content_hash", "status")
     hot = hot_keys(narrow, "url")
     decisions = stage(decide(narrow, registry, refresh, hot), "decisions")
@@ -117,5 +107,5 @@ def refresh_job(
         if as_of is None:
             raise ValueError("planning the frontier needs as_of")
         after = stage(after, "registry")
-        planned = plan_frontier(page_links(pages), after, scope, refresh, as_of, seen=pages)
+        planned = plan_frontier(page_links(pages), after, scope, refresh, as_of, seen=raw.select(F.col("url").alias("page_url")))
     return RefreshResult(as_records(emitted, markdown), after, planned, rejects, hashes, pages)

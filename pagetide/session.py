@@ -30,11 +30,13 @@ def local_session(cores: int | str = "*", name: str = "pagetide", **conf) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir of the session.
 
-    Only a session without that setting (tests, a laptop) falls back to a fresh local folder.
+    A local session (tests, a laptop) without that setting gets a fresh local folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagetide-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
