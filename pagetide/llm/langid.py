@@ -121,13 +121,15 @@ class Model:
             keys = gram[left] & U((1 << 16 * n) - 1) if n < 4 else gram[left]
             ids = self.grams.find(_key(keys, n, 0))
             hit = ids >= 0
-            out[left[hit]] -= self.grams.values("log2", ids[hit])
+            if hit.any():
+                out[left[hit]] -= self.grams.values("log2", ids[hit])
             left, keys = left[~hit], keys[~hit]
             if not len(left):
                 break
             ids = self.grams.find(_key(keys >> U(16), n, 1))
             known = ids >= 0  # the context is known, so the lower order has a weight
-            out[left[known]] -= self.grams.values("log2", ids[known])
+            if known.any():
+                out[left[known]] -= self.grams.values("log2", ids[known])
         return out
 
 
