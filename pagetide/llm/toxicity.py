@@ -12,6 +12,7 @@ toxic rows (0 without rows). Repeated rows get equal scores. Whole texts are use
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,14 +83,14 @@ def _counts(training: DataFrame) -> np.ndarray:
             for lo, _, row, bucket in _features(texts):
                 toxic = label[lo + row] == 1
                 for k in (0, 1):
-                    buckets, n = np.unique(bucket[toxic == k], return_counts=True)
-                    total[k, buckets] += n
+                    total[k] += np.bincount(bucket[toxic == k], minlength=1 << BITS)
         if rows.any():
-            parts = [total[:, p * width : (p + 1) * width].tobytes() for p in range(PARTS)] + [rows.tobytes()]
+            parts = [total[:, p * width : (p + 1) * width] for p in range(PARTS)] + [rows]
+            parts = [zlib.compress(x.tobytes(), 1) for x in parts]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array(parts, pa.binary())], ["part", "n"])
 
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        n = np.sum([np.frombuffer(x, np.int64) for x in group.column("n").to_pylist()], axis=0)
+        n = np.sum([np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("n").to_pylist()], axis=0)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
 
     out = np.zeros((2, (1 << BITS) + 1), np.int64)
@@ -114,13 +115,13 @@ def _regression(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) ->
     w, b = np.zeros(len(feature)), 0.0
     m, v, mb, vb = np.zeros(len(feature)), np.zeros(len(feature)), 0.0, 0.0
     n = len(rows)
-    for step in range(1, 401):
+    for step in range(1, 151):
         z = np.bincount(at, w[index] * x, minlength=n) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
         gradient = np.bincount(index, error[at] * x, minlength=len(feature)) / n + 1e-3 * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * error.mean(), 0.99 * vb + 0.01 * error.mean() ** 2
-        rate = 0.02 if step < 300 else 0.004
+        rate = 0.03 if step < 110 else 0.005
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         b -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
