@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, suffix, toxicity
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, shared, simhash, suffix, toxicity
 from pagetide.llm.shared import remainder, table
+from pagetide.session import stage
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    labels = shared.bounded(stage(labels, "labels"))
     training = docs.filter("NOT held_out").join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
     scored = toxicity.score(docs, toxicity.fit(training), "doc_id", "held_out")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
