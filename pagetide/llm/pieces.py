@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,7 @@ class Pieces:
     longest: int
     unknown: float
     begins: dict[str, float | None]  # every begin of a piece; the score if it is a piece
+    chars: frozenset[str]  # that are pieces
     name: str  # of the model file
 
     def lattice(self, text: str, own: set[int], start: int, stop: int, ends: int) -> tuple[list[float], list[int]]:
@@ -95,46 +97,61 @@ class Pieces:
             place -= k
         return out[::-1]
 
-    def word(self, word: str) -> tuple[array, float]:
-        """Ids and score of a piece of text between two places that every path passes."""
-        words, older = _words.setdefault(self.name, ({}, {}))
-        found = words.get(word)
-        if found is None:
-            found = older.get(word) or self._best(word)
-            if len(word) <= 64:
-                if len(words) >= REMEMBERED:
-                    older.clear()
-                    older.update(words)
-                    words.clear()
-                words[word] = found
+    def best_ids(self, word: str) -> bytes:
+        """Ids (int32) of the best path through a word without marks of its own."""
+        n = len(word)
+        if not self.chars.issuperset(word):
+            _, length = self.lattice(word, set(), 0, n, n)
+            return _raw(self.trace(word, set(), 0, length, n))
+        best, last = [0.0] + [NONE] * n, [(0, b"")] * (n + 1)
+        for end, piece in _matcher(self).iter(word):  # by their ends; of those with one end, longer ones come first
+            score = best[end + 1 - piece[0]] + piece[1]
+            if score > best[end + 1]:
+                best[end + 1], last[end + 1] = score, piece
+        out, place = [], n
+        while place:
+            piece = last[place]
+            out.append(piece[2])
+            place -= piece[0]
+        return b"".join(reversed(out))
+
+
+class Words(dict):
+    """Ids of the latest words that a worker has met, and in `older` those of the generation before."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word) or self.pieces.best_ids(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
-    def _best(self, word: str) -> tuple[array, float]:
-        """The lattice of one word, without marks of its own."""
-        n = len(word)
-        best, length = [NONE] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        begins, longest = self.begins.get, self.longest
-        for i in range(n):
-            here = best[i]
-            if here == NONE:
-                continue
-            if here + self.unknown > best[i + 1] and begins(word[i]) is None:
-                best[i + 1], length[i + 1] = here + self.unknown, 1
-            for j in range(i + 1, min(n, i + longest) + 1):
-                score = begins(word[i:j], NONE)
-                if score is None:
-                    continue
-                if score == NONE:
-                    break
-                score += here
-                if score > best[j] or score == best[j] and j - i > length[j]:
-                    best[j], length[j] = score, j - i
-        return array("i", self.trace(word, (), 0, length, n)), best[n]
 
+# of this worker, by model
+_words: dict[str, Words] = {}
+_matchers: dict[str, ahocorasick.Automaton] = {}
 
-# words of this worker, by model: the latest, and those before them
-_words: dict[str, tuple[dict[str, tuple[array, float]], dict[str, tuple[array, float]]]] = {}
+
+def _matcher(pieces: Pieces) -> ahocorasick.Automaton:
+    """Finds all pieces in a text: length, score and id."""
+    found = _matchers.get(pieces.name)
+    if found is None:
+        found = ahocorasick.Automaton()
+        for piece, score in pieces.scores.items():
+            found.add_word(piece, (len(piece), score, _raw([pieces.ids[piece]])))
+        found.make_automaton()
+        _matchers[pieces.name] = found
+    return found
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -158,7 +175,8 @@ def load(path: str = MODEL) -> Pieces:
         raise ValueError("a piece reaches over the begin of a word")
     begins: dict[str, float | None] = {p[:k]: None for p in ids for k in range(1, len(p))}
     begins.update(scores)
-    return Pieces(ids, scores, data, first_byte, max(map(len, ids)), min(scores.values()) - 10, begins, path)
+    chars = frozenset(p for p in ids if len(p) == 1)
+    return Pieces(ids, scores, data, first_byte, max(map(len, ids)), min(scores.values()) - 10, begins, chars, path)
 
 
 def _marked(text: str) -> tuple[str, set[int]]:
@@ -172,29 +190,23 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORD = re.compile(rf"(?=.){MARK}*[^{MARK}{LETTER}]*(?:[{LETTER}]++(?=\w)[^{MARK}{LETTER}]+)*[{LETTER}]*", re.DOTALL)
 
 
-def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int) -> array:
-    """Ids of text[start:end], where both places are passed by every path."""
+def _encode_part(pieces: Pieces, text: str, own: set[int], start: int, end: int) -> bytes:
+    """Ids (int32) of text[start:end], where both places are passed by every path."""
     if own:
         _, length = pieces.lattice(text, own, start, end, end)
-        return array("i", pieces.trace(text, own, start, length, end - start))
-    out = array("i")
-    known, new = _words.setdefault(pieces.name, ({}, {}))[0].get, pieces.word
-    for word in WORD.findall(text, start, end):
-        out.extend((known(word) or new(word))[0])
-    return out
+        return _raw(pieces.trace(text, own, start, length, end - start))
+    words = _words.get(pieces.name)
+    if words is None:
+        words = _words[pieces.name] = Words(pieces)
+    return b"".join(map(words.__getitem__, WORD.findall(text, start, end)))
 
 
-def _score_part(pieces: Pieces, text: str, start: int, end: int) -> float:
-    """The score of these ids, for a text without marks of its own."""
-    return sum(pieces.word(word)[1] for word in WORD.findall(text, start, end))
-
-
-def _id_lists(ids: list[array | None]) -> pa.Array:
+def _id_lists(ids: list[bytes | None]) -> pa.Array:
     """An Arrow column of lists of ids."""
-    sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-    flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if x] or [np.zeros(0, np.int32)])
+    sizes = np.array([len(x or b"") // 4 for x in ids], np.int64)
+    flat = np.frombuffer(b"".join(x or b"" for x in ids), np.int32)
     ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-    missing = pa.array([x is None for x in ids])
+    missing = pa.array([x is None for x in ids], pa.bool_())
     return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=missing)
 
 
@@ -214,7 +226,10 @@ def _passed(text: str, own: set[int], start: int, end: int) -> tuple[int, int]:
 
 
 def _matrix(pieces: Pieces, text: str, own: set[int], size: int, first: bool) -> np.ndarray:
-    """Best score from each entry state to each exit state; `text` reaches over the chunk's `size` by what follows."""
+    """Best score from each entry state to each exit state; `text` reaches over the chunk's `size` by what follows.
+
+    Where all paths pass two places, what lies between adds the same to every score and is left out.
+    """
     states = pieces.longest
     out = np.full((states, states), NONE)
     reach = min(len(text), size + states - 1)
@@ -227,25 +242,24 @@ def _matrix(pieces: Pieces, text: str, own: set[int], size: int, first: bool) ->
             best, _ = pieces.lattice(text, own, s, a, a)
             out[s, :] = best[-1]
     if a >= 0:
-        middle = _score_part(pieces, text, a, b)
         best, _ = pieces.lattice(text, own, b, size, reach)
         tail = np.full(states, NONE)
         tail[: reach - size + 1] = best[size - b :]
-        out = out + middle + tail
+        out = out + tail
     return out
 
 
-def _traced(pieces: Pieces, text: str, own: set[int], size: int, s: int, t: int) -> array:
+def _traced(pieces: Pieces, text: str, own: set[int], size: int, s: int, t: int) -> bytes:
     """Ids of the pieces that begin in the chunk, between two states."""
     a, b = _passed(text, own, pieces.longest, size)
     if a < 0:
         _, length = pieces.lattice(text, own, s, size, size + t)
-        return array("i", pieces.trace(text, own, s, length, size + t - s))
+        return _raw(pieces.trace(text, own, s, length, size + t - s))
     _, length = pieces.lattice(text, own, s, a, a)
     head = pieces.trace(text, own, s, length, a - s)
     _, length = pieces.lattice(text, own, b, size, size + t)
     tail = pieces.trace(text, own, b, length, size + t - b)
-    return array("i", head) + _encode_part(pieces, text, own, a, b) + array("i", tail)
+    return _raw(head) + _encode_part(pieces, text, own, a, b) + _raw(tail)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -366,11 +380,17 @@ def decode(encoded: DataFrame, pieces: Pieces, into: str = "decoded") -> DataFra
     """The rows with the text of their ids in the column `into`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = pieces.data
+        data = pa.array(pieces.data, pa.large_binary())
         for batch in shared.few_rows(batches):
-            out = []
-            for ids in batch.column(batch.schema.get_field_index("ids")):
-                out.append(None if not ids.is_valid else b"".join([data[i] for i in ids.values.to_numpy().tolist()])[1:].decode())
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            found = data.take(ids.flatten())
+            _, at, raw = found.buffers()
+            places = np.frombuffer(at, np.int64) if at else np.zeros(1, np.int64)
+            ends = places[np.cumsum(ids.value_lengths().fill_null(0).to_numpy())].tolist()
+            raw = memoryview(raw or b"")
+            # the first byte is the blank put in front
+            texts = [str(raw[a + 1 : b], "utf-8") for a, b in zip([0, *ends], ends)]
+            out = [x if known else None for x, known in zip(texts, ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, into])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
