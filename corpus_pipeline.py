@@ -1,6 +1,7 @@
 """From raw documents to token ids: five stages, each a Spark job over all rows the one before kept.
 
 Every stage takes and returns the columns of documents (the last one adds the ids); columns beyond them are kept too.
+A stage sets the session's Arrow batches to sizes for wide rows, so that little text at a time is outside the heap.
 """
 
 from __future__ import annotations
@@ -13,24 +14,34 @@ from pagetide.llm.shared import remainder, table
 from pagetide.session import stage
 
 
+def wide_rows(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and 8 MB from now on; results do not depend on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language of the corpus; learned from three quarters of them."""
+    wide_rows(spark)
     trained = remainder(F.col("doc_id"), 4) != 2
     return langid.with_known_language(docs, docs.filter(trained), trained)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share about 0.8 or more of their five-word shingles."""
+    wide_rows(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    wide_rows(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the new text."""
+    wide_rows(spark)
     replaced = pii.replace(docs)
     if "n_chars" in docs.columns:
         new = F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -40,6 +51,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids; round_trip says that the ids decode to the text again."""
+    wide_rows(spark)
     known = pieces.load()
     decoded = pieces.decode(pieces.encode(docs, known), known)
     return decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")

@@ -30,6 +30,7 @@ from pagetide.session import stage
 
 LEAVES = 120_000  # leaves of a node pair that one task takes
 STEP = 4  # bits a round
+SLICE = 1 << 19  # bytes of text whose shingles a task holds together
 STATES = 1 << 19  # node pairs that a task expands together
 U = np.uint64
 
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, _, data, offsets in shared.text_slices(shared.text_column(batch)):
+            for _, _, data, offsets in shared.text_slices(shared.text_column(batch), SLICE):
                 parts.append(_majority(*_shingle_hashes(data, offsets, shingle), words))
             all_ = np.concatenate(parts) if parts else np.zeros((0, words), U)
             sketch = pa.FixedSizeBinaryArray.from_buffers(
