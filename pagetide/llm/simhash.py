@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.llm import shared
@@ -279,35 +279,153 @@ def near_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFram
     )
 
 
-WORDS = 8  # 64-bit words of a long sketch
-TABLES = 16  # 32-bit parts of it, each with a trie of its own
-SPARE_BITS = 6  # leaves have this many bits more than the number of documents needs
-FAR = 88  # differing bits of 512: two texts with 80 of 100 shingles in common differ in 78 on average, give or take 8
+# ---- texts that share 0.8 of their shingles
 
+SAMPLE = 5_000_000  # shingles, of whole texts, in which frequent ones are looked for
+FREQUENT = 50_000  # frequent shingles that are put last, at most
+OVERLAP = "9 * both >= 4 * (na + nb)"  # sets of na and nb with `both` in common: both / (na + nb - both) >= 0.8
 
-def similar_classes(docs: DataFrame, shingle: int = 5, most: int = FAR) -> DataFrame:
-    """doc_id, component_id: texts whose long sketches say that they share about 0.8 of their shingles or more.
 
-    Such texts differ in some 10 of 64 bits, too many for one trie. So sixteen tries hold some bits of different parts
-    of the sketch; nearly all similar pairs differ in at most two bits in one of them. The whole sketch then decides.
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node (a hash of the set), fp (its SimHash), n and members (sorted hashes of the distinct shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, sizes, nodes, prints = [], [], [], []
+            for _, _, data, offsets in shared.text_slices(shared.text_column(batch), SLICE):
+                h, count = _shingle_hashes(data, offsets, shingle)
+                row = np.repeat(np.arange(len(count)), count)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, n = h[new], np.bincount(row[new], minlength=len(count))
+                ends = np.cumsum(n).tolist()
+                raw = memoryview(h.tobytes())
+                nodes.append(np.array([xxhash.xxh64_intdigest(raw[8 * s : 8 * e], 42) for s, e in zip([0, *ends], ends)], U))
+                prints.append(_majority(h, n, 1)[:, 0])
+                members.append(h)
+                sizes.append(n)
+            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            n = flat(sizes, np.int64)
+            sets = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat(members, U).view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
+                 pa.array(n.astype(np.int32)), sets],
+                ["doc_id", "node", "fp", "n", "members"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, node long, fp long, n int, members array<long>"
+    )
+
+
+def _frequent(sets: DataFrame, total: int) -> np.ndarray:
+    """Hashes of frequent shingles, the rarest of them first. Which ones these are changes the work, not the result."""
+    part = sets.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
+    counts = part.select("node", F.explode("members").alias("h")).distinct().groupBy("h").count().filter("count >= 4")
+    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()
+    return np.array([r[0] for r in reversed(found)], np.int64).view(U)
+
+
+def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """h, node, n: the first n - 0.8 n + 1 members of each set, in an order of all shingles with the frequent ones last.
+
+    Two sets that are 0.8 similar have one of these in common, whatever the order is.
+    """
+    place = np.argsort(frequent)
+    known = frequent[place]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy().astype(np.int64)
+            h = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(U)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, place[at] + 1, 0)
+            order = np.lexsort((h, rank, row))
+            nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            take = order[nth < (n - (4 * n + 4) // 5 + 1)[row]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[take].view(np.int64)), batch.column(0).take(pa.array(row[take])), batch.column(1).take(pa.array(row[take]))],
+                ["h", "node", "n"],
+            )
+
+    return sets.select("node", "n", "members").mapInArrow(run, "h long, node long, n int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: the pairs of nodes whose sets are 0.8 similar, counted member by member."""
+    pairs = stage(pairs.select("a", "b").distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = ends.join(classes, "node").select("node", F.col("least").alias("of"))
+    held = sets.join(wanted, "node").filter(sets["doc_id"].eqNullSafe(F.col("of")))
+    held = stage(held.select("node", "n", "members").dropDuplicates(["node"]), "held")
+    x = held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
+    y = held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).alias("both")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", both).filter(OVERLAP).select("a", "b")
+
+
+def _alike(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between sets that are 0.8 similar, enough for the components of all such links.
+
+    First come the pairs that SimHash names (fingerprints with at most two differing bits) and those of each set with
+    the smallest set of a bucket (sets with one prefix member in common). They hold large groups together with few
+    links. Then all pairs of a bucket are taken whose sets are not in one component yet.
     """
-    prints = stage(
-        fingerprints(docs, shingle, WORDS).select("doc_id", "sketch").withColumn("node", F.xxhash64("sketch")), "prints"
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    entries = _prefixes(sets, _frequent(sets, total)).repartition("h").dropDuplicates(["h", "node"])
+    bucket = Window.partitionBy("h")
+    buckets = stage(
+        entries.withColumn("size", F.count("*").over(bucket)).withColumn("lead", F.min(F.struct("node", "n")).over(bucket))
+        .filter("size > 1").select("h", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")),
+        "buckets",
+    )
+    # `shared` prefix members in common; beyond the shorter prefix at most 0.8 n - 1 members follow
+    likely = "9 * (shared + (4 * greatest(na, nb) + 4) div 5 - 1) >= 4 * (na + nb)"
+    sizes = "5 * least(na, nb) >= 4 * greatest(na, nb)"
+    leading = buckets.filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).filter(sizes)
+    leading = leading.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely).select("a", "b")
+    prints = stage(classes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = classes.join(prints.withColumnRenamed("node", "a"), "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    near = trie_join(
+        prints.select(F.lit(0).alias("tab"), F.col("fp").alias("leaf"), "node", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sketch")), 64, 2
     )
-    classes = stage(prints.groupBy("node").agg(F.first("sketch").alias("sketch")), "classes")
-    bits = max(16, min(32, (classes.count() or 1).bit_length() + SPARE_BITS))
-    part = lambda t: F.conv(F.hex(F.substring("sketch", 4 * t + 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-    tabs = F.array(*(F.struct(F.lit(t).alias("tab"), part(t).alias("leaf")) for t in range(TABLES)))
-    leaves = classes.select(F.explode(tabs).alias("x"), "node", "sketch").select("x.tab", "x.leaf", "node", "sketch")
-    return _with_components(prints, trie_join(leaves, bits, 2, most, 500_000)).select("doc_id", "component_id")
+    first = stage(_verified(leading.union(equal).union(near.select("a", "b")), sets, classes), "first")
+    c = buckets.select("h", "node", "n").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    c = stage(
+        c.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
+        .filter("lo <> hi").select("h", "node", "n", "component"),
+        "open",
+    )
+    x = c.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = c.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    rest = x.join(y, "h").filter(f"a < b AND ca <> cb AND {sizes}").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return first.union(_verified(rest.filter(likely), sets, classes))
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id: texts linked if they share 0.8 or more of their distinct shingles.
+
+    Every link is counted on the shingles themselves, and no pair at 0.8 or more is missed, at any size of the input;
+    only shingles are taken as equal if their 64-bit hashes are.
+    """
+    sets = stage(shingle_sets(docs, shingle), "sets")
+    classes = stage(sets.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")), "classes")
+    return _with_components(sets.select("doc_id", "node"), stage(_alike(sets, classes), "alike")).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, most: int = FAR) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is the smallest of its group; equal rows (id and text) once.
 
     Rows with a null doc_id stay unless their text is in a group with an id.
     """
-    found = stage(similar_classes(docs, shingle, most), "groups")
+    found = stage(similar_classes(docs, shingle), "groups")
     gone = stage(found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = stage(found.groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "again")
     kept = shared.without(docs, gone)

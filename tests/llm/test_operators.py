@@ -119,6 +119,41 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [*((False, i) for i in range(40)), (True, 0)]
 
 
+def shingle_set(text):
+    w = words(lower(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def similar(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+@pytest.mark.parametrize("frequent", [50_000, 0])
+def test_similar_classes_are_exact(spark, rows, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rng = random.Random(21)
+    v = [f"w{i}" for i in range(5000)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for k in range(60):  # similarities on both sides of 0.8, short texts among them
+        base = [rng.choice(v) for _ in range(rng.choice([4, 8, 9, 12, 30, 100, 200]))]
+        rows.append((1000 + k, " ".join(base)))
+        for d in (2000, 3000):
+            copy = base[: len(base) - rng.randrange(1 + len(base) // 4)]
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = "other"
+            rows.append((d + k, " ".join(copy)))
+    line = [f"l{i}" for i in range(8)]  # one line a hundred times, and otherwise different texts
+    rows += [(4000 + k, " ".join(line * 100 + [rng.choice(v) for _ in range(100)])) for k in range(2)]
+    sets = [shingle_set(t) for _, t in rows]
+    group = groups_of(len(rows), lambda i, j: similar(sets[i], sets[j]))
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        least[g] = min(least.get(g, i), i)
+    got = sorted(tuple(r)[:2] for r in simhash.similar_classes(table(spark, rows)).select("doc_id", "component_id").collect())
+    assert got == sorted((i, least[g]) for (i, _), g in zip(rows, group))
+    assert simhash.similar_classes(table(spark, rows).filter("false")).count() == 0
+
+
 # ---- toxicity
 
 def test_toxicity(spark):
