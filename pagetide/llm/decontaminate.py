@@ -10,8 +10,8 @@ An overlap is an alignment with a window of 16 item tokens of which at most 2 di
 must occur whole and unchanged. Tokens are the runs of letters and digits of the lower-cased text.
 
 Defined results: null and empty texts, and items without a token, overlap with nothing. Documents with the same
-doc_id count as one: it is contaminated if a row of it is. Rows with a null doc_id are compared too and count as one
-document. Items with equal tokens count as one, named by the smallest item_id. Empty tables give no overlaps. Other
+doc_id count as one in the report: it is contaminated if a row of it is. Rows with a null doc_id are compared too and
+count as one document there. `clean` takes out rows, whatever their id. Items with equal tokens count as one, named by the smallest item_id. Empty tables give no overlaps. Other
 columns are not looked at.
 """
 
@@ -123,6 +123,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap, with all their columns."""
-    found = stage(overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    """The rows without an overlap, with all their columns. Rows that share an id are judged one by one."""
+    keyed = docs.select(shared.row_key(docs).alias("doc_id"), "text")
+    found = stage(overlaps(keyed, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
     return shared.without(docs, found)

@@ -266,6 +266,7 @@ def identify(docs: DataFrame, training: DataFrame, trained) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame, training: DataFrame, trained) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
-    gone = stage(identify(docs, training, trained).filter("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
+    """The rows of docs that are not rejected, with all their columns. Rows that share an id are judged one by one."""
+    keyed = docs.select(shared.row_key(docs).alias("doc_id"), "text", trained.alias("_trained"))
+    gone = stage(identify(keyed, training, F.col("_trained")).filter("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
     return shared.without(docs, gone)

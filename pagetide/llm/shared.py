@@ -43,9 +43,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What names a row where it is judged by its text: ids may be null or repeat."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in the one column of `gone`; a null id is an id like any other."""
-    return docs.join(bounded(gone), docs["doc_id"].eqNullSafe(gone[gone.columns[0]]), "left_anti")
+    """docs without the rows whose row key is in the one column of `gone`."""
+    return docs.join(bounded(gone), row_key(docs) == gone[gone.columns[0]], "left_anti")
 
 
 def mounted_folder(spark: SparkSession, name: str) -> str:

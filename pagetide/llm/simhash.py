@@ -287,7 +287,7 @@ OVERLAP = "9 * both >= 4 * (na + nb)"  # sets of na and nb with `both` in common
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (a hash of the set), fp (its SimHash), n and members (sorted hashes of the distinct shingles)."""
+    """doc_id, k (the row key), node (a hash of the set), fp (its SimHash), n and members (sorted hashes of the distinct shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,13 +312,13 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat(members, U).view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
+                [batch.column(0), batch.column(1), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
                  pa.array(n.astype(np.int32)), sets],
-                ["doc_id", "node", "fp", "n", "members"],
+                ["doc_id", "k", "node", "fp", "n", "members"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, node long, fp long, n int, members array<long>"
+    return docs.select(F.col("doc_id").cast("long"), shared.row_key(docs).alias("k"), "text").mapInArrow(
+        run, "doc_id long, k long, node long, fp long, n int, members array<long>"
     )
 
 
@@ -362,9 +362,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
     """a, b: the pairs of nodes whose sets are 0.8 similar, counted member by member."""
     pairs = stage(pairs.select("a", "b").distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ends.join(classes, "node").select("node", F.col("least").alias("of"))
-    held = sets.join(wanted, "node").filter(sets["doc_id"].eqNullSafe(F.col("of")))
-    held = stage(held.select("node", "n", "members").dropDuplicates(["node"]), "held")
+    wanted = ends.join(classes, "node").select("node", F.col("of").alias("k"))  # one row of each
+    held = stage(sets.join(wanted, ["node", "k"]).select("node", "n", "members").dropDuplicates(["node"]), "held")
     x = held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
     y = held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y")).alias("both")
@@ -410,28 +409,29 @@ def _alike(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, component_id: texts linked if they share 0.8 or more of their distinct shingles.
+    """doc_id, component_id, k (the row key): texts linked if they share 0.8 or more of their distinct shingles.
 
     Every link is counted on the shingles themselves, and no pair at 0.8 or more is missed, at any size of the input;
     only shingles are taken as equal if their 64-bit hashes are.
     """
     sets = stage(shingle_sets(docs, shingle), "sets")
-    classes = stage(sets.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")), "classes")
-    return _with_components(sets.select("doc_id", "node"), stage(_alike(sets, classes), "alike")).select("doc_id", "component_id")
+    classes = stage(sets.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("k").alias("of")), "classes")
+    return _with_components(sets.select("doc_id", "k", "node"), stage(_alike(sets, classes), "alike")).select("doc_id", "component_id", "k")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is the smallest of its group; equal rows (id and text) once.
 
-    Rows with a null doc_id stay unless their text is in a group with an id.
+    Rows with a null doc_id stay unless their text is in a group with an id. Rows that share an id, or have none, are
+    judged one by one.
     """
     found = stage(similar_classes(docs, shingle), "groups")
-    gone = stage(found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = stage(found.groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "again")
+    gone = stage(found.filter("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.col("k").alias("_gone")).distinct(), "gone")
+    again = stage(found.groupBy(F.col("k").alias("_again")).count().filter("count > 1").select("_again"), "again")
     kept = shared.without(docs, gone)
     if again.isEmpty():
         return kept
-    is_again = kept["doc_id"].eqNullSafe(again["_again"])
+    is_again = shared.row_key(kept) == again["_again"]
     return kept.join(again, is_again, "left_anti").unionByName(
         kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
     )

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, suffix, toxicity
 
@@ -154,6 +155,25 @@ def test_similar_classes_are_exact(spark, rows, monkeypatch, frequent):
     assert simhash.similar_classes(table(spark, rows).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("step", ["near", "language", "benchmark"])
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, step):
+    rng = random.Random(12)
+    v = [f"v{i}" for i in range(3000)]
+    long = lambda: " ".join(rng.choice(v) for _ in range(60))
+    a, b, c, d = (long() for _ in range(4))
+    item = "one benchmark item that is made of sixteen different words for this small test only"
+    bad = {"near": a, "language": "", "benchmark": item}[step]
+    rows = [(1, a), (5, b), (None, bad), (None, c), (5, bad), (None, d)]
+    docs = table(spark, rows)
+    if step == "near":
+        kept = simhash.one_of_each(docs)
+    elif step == "language":
+        kept = langid.with_known_language(docs.withColumn("lang", F.lit("en")), docs.withColumn("lang", F.lit("en")), F.lit(True))
+    else:
+        kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, a), (5, b), (None, c), (None, d)}
+
+
 # ---- toxicity
 
 def test_toxicity(spark):
