@@ -7,7 +7,9 @@ every window of 16 tokens with at most 2 replaced ones holds a seed without a re
 start. Seeds that meet give an alignment of a document with an item; the tokens along it are then compared.
 
 An overlap is an alignment with a window of 16 item tokens of which at most 2 differ. Items with fewer than 16 tokens
-must occur whole and unchanged. Tokens are the runs of letters and digits of the lower-cased text.
+must occur whole; with `short_replaced` one token of them may differ if they have 8 or more (2 in 16, rounded down),
+otherwise none. The two masks catch every such item of 14 or 15 tokens; one of 8 to 13 has its first or its last
+tokens unchanged, so these are seeds too, at every start. Tokens are the runs of letters and digits of the lower-cased text.
 
 Defined results: null and empty texts, and items without a token, overlap with nothing. Documents with the same
 doc_id count as one in the report: it is contaminated if a row of it is. Rows with a null doc_id are compared too and
@@ -28,19 +30,27 @@ REPLACED = 2
 STRIDE = 2
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 8, 10, 11, 12))
 SPAN = 13  # tokens that the longest mask reaches over
+ENDS = -1  # kind of the seeds of both ends of short items
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(df: DataFrame, key: str, stride: int, short: list[int]) -> DataFrame:
+def _tolerated(n: int) -> int:
+    """Tokens that may differ in an item of n tokens, fewer than a window has."""
+    return n * REPLACED // WINDOW
+
+
+def _seeds(df: DataFrame, key: str, stride: int, short: list[int], more: Column | None = None) -> DataFrame:
     """key, seed, start: a row for each mask and start of array column h (hashes of the tokens).
 
-    `short`: lengths of items that are too short for the masks; these are hashed whole, at every start.
+    `short`: lengths of items that are too short for the masks; these are hashed whole, at every start. `more`: an
+    array of further seeds.
     """
     arrays = [_seed_array(kind, mask, stride) for kind, mask in enumerate(MASKS)]
     arrays += [_seed_array(len(MASKS) + n, tuple(range(n)), 1) for n in short]
+    arrays += [] if more is None else [more]
     return df.select(key, F.explode(F.flatten(F.array(*arrays))).alias("s")).select(key, "s.seed", "s.at")
 
 
@@ -52,7 +62,7 @@ def _seed_array(kind: int, mask: tuple[int, ...], step: int) -> Column:
     return F.transform(starts, lambda i: F.struct(seed(i).alias("seed"), i.alias("at")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, short_replaced: bool = False) -> DataFrame:
     """doc_id, item_id, start (token of the document where the item would begin, may be negative), n_equal, n_item."""
     items = stage(
         benchmark.select("item_id", tokens(F.col("text")).alias("item"))
@@ -64,10 +74,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = F.size("item")
     short = sorted(r[0] for r in items.filter(size < SPAN + STRIDE - 1).select(size).distinct().collect())
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    known = stage(_seeds(items.select("class", hashed(F.col("item")).alias("h")), "class", 1, short), "seeds")
+    loose = [n for n in short if short_replaced and _tolerated(n)]
+    short = [n for n in short if n not in loose]
+    end = min(loose, default=0) // 2
+    ends = _seed_array(ENDS, tuple(range(end)), 1) if loose else None
+    at_end = lambda s: F.size("h").isin(loose) & ((s["at"] == 0) | (s["at"] == F.size("h") - end))
+    item_ends = F.filter(ends, at_end) if loose else None
+    known = stage(_seeds(items.select("class", hashed(F.col("item")).alias("h")), "class", 1, short, item_ends), "seeds")
     mine = docs.select("doc_id", hashed(tokens(F.col("text"))).alias("h"))
     met = (
-        _seeds(mine, "doc_id", STRIDE, short)
+        _seeds(mine, "doc_id", STRIDE, short, ends)
         .join(shared.bounded(known.withColumnRenamed("at", "item_at")), "seed")
         .select("doc_id", "class", (F.col("at") - F.col("item_at")).alias("start"))
         .distinct()
@@ -87,7 +103,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.explode(F.transform(F.col("met"), lambda m: _compared(F.col("words"), m))).alias("o"),
     )
     window = F.least(F.col("o.n_item"), F.lit(WINDOW))
-    fits = F.col("o.best") >= F.when(F.col("o.n_item") < WINDOW, window).otherwise(window - REPLACED)
+    tolerated = F.floor(F.col("o.n_item") * REPLACED / WINDOW) if short_replaced else F.lit(0)
+    fits = F.col("o.best") >= F.when(F.col("o.n_item") < WINDOW, window - tolerated).otherwise(window - REPLACED)
     return each.filter(fits).select("doc_id", "o.item_id", "o.start", "o.n_equal", "o.n_item").distinct()
 
 
@@ -108,9 +125,9 @@ def _compared(words: Column, m: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, short_replaced: bool = False) -> DataFrame:
     """A row for each document: doc_id, contaminated, n_items, item_id (smallest), n_equal (most equal tokens)."""
-    found = stage(overlaps(docs, benchmark), "overlaps").groupBy(F.col("doc_id").alias("hit")).agg(
+    found = stage(overlaps(docs, benchmark, short_replaced), "overlaps").groupBy(F.col("doc_id").alias("hit")).agg(
         F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"),
         F.max("n_equal").cast("long").alias("n_equal"),
     )
@@ -122,8 +139,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, short_replaced: bool = False) -> DataFrame:
     """The rows without an overlap, with all their columns. Rows that share an id are judged one by one."""
     keyed = docs.select(shared.row_key(docs).alias("doc_id"), "text")
-    found = stage(overlaps(keyed, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    found = stage(overlaps(keyed, benchmark, short_replaced).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
     return shared.without(docs, found)

@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, simhash, suffix, toxicity
+import corpus_pipeline
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, queries, simhash, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, n long, key string"  # the last two columns only clash with names inside
 WORDS = "red fox jumps over lazy dogs while seven cats sleep near warm stones under bright stars every quiet night".split()
@@ -234,6 +235,31 @@ def test_decontamination(spark):
     assert decontaminate.report(docs, bench.filter("false")).filter("contaminated").count() == 0
 
 
+def test_short_items_with_a_replaced_token(spark, tmp_path):
+    rng = random.Random(13)
+    v = [f"t{i}" for i in range(300)]
+    items = [(n, [rng.choice(v) for _ in range(n)]) for n in (3, 7, 8, 9, 12, 13, 14, 15)]
+    rows, want = [], {}
+    for n, item in items:
+        for lead in (0, 1, 4, 5):
+            for q in [None, *range(n)]:
+                for twice in (False, True) if q else (False,):
+                    copy = list(item)
+                    if q is not None:
+                        copy[q] = "other"
+                    if twice:
+                        copy[q - 1] = "more"
+                    rows.append((len(rows), " ".join(["x"] * lead + copy + ["y"] * 3)))
+                    want[len(rows) - 1] = q is None or not twice and n >= 8
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items], "item_id long, text string")
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op4_benchmark_decontamination(spark, str(tmp_path))
+    assert {r["doc_id"]: r["contaminated"] for r in got.collect()} == want
+    kept = corpus_pipeline.decontamination(spark, table(spark, rows), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, bad in want.items() if not bad}
+
+
 # ---- long repeated strings
 
 def brute_repeats(rows, length):
