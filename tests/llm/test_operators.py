@@ -156,6 +156,15 @@ def test_similar_classes_are_exact(spark, rows, monkeypatch, frequent):
     assert simhash.similar_classes(table(spark, rows).filter("false")).count() == 0
 
 
+def test_no_pair_at_the_bound_is_missed(spark):
+    rows = []
+    for k in range(300):  # 80 shingles in common and 10 of each text's own: exactly 0.8
+        common = [f"c{k}-{i}" for i in range(84)]
+        rows += [(2 * k + s, " ".join(common + [f"o{k}-{s}-{i}" for i in range(10)])) for s in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 @pytest.mark.parametrize("step", ["near", "language", "benchmark"])
 def test_rows_that_share_an_id_are_judged_one_by_one(spark, step):
     rng = random.Random(12)
