@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
         known = ids >= 0
         c = np.zeros(len(h), np.int64)
         c[known] = model.words.values("count", ids[known])
-        base = (c + 1) / ((model.tokens + 1) * (size + 1))
+        base = (c + 1) / (model.tokens + size + 1)  # sums to 1 over all words and the unknown
         start = np.concatenate(([True], row[1:] != row[:-1]))
         before = np.where(start, size, np.concatenate(([0], ids[:-1])))
         # lowest order: in how many contexts a word occurs, mixed with one share for every word and the unknown

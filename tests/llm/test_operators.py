@@ -451,8 +451,13 @@ def test_lm(spark, rows, monkeypatch):
     for i, t in test:
         w, r = tokens(t), got[i][0]
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(x in count for x in w))
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / ((n + 1) * (v + 1))) for x in w))
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
         assert r["score"] == pytest.approx(sum(math.log10(p(x, y)) for x, y in zip(["<s>", *w], w)))
+    # over all tokens and one unknown the base probabilities sum to 1
+    single = [(i, "" if w == "</s>" else w) for i, w in enumerate([*count, "neverseen"])]
+    base = {r["doc_id"]: r["base_score"] for r in lm.score(table(spark, single), model, "doc_id").collect()}
+    end = next(base[i] for i, w in single if not w)
+    assert sum(10 ** (base[i] - (end if w else 0)) for i, w in single) == pytest.approx(1)
     assert lm.fit(table(spark, train).filter("false")) is None
     assert lm.score(table(spark, test), None, "doc_id").agg({"score": "sum"}).first()[0] == 0
 
