@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, shared, simhash, suffix, toxicity, urlfilter, whitening
+from pagetide.llm import chat, decontaminate, langid, lm, pieces, pii, quality, repair, shared, simhash, suffix, toxicity, urlfilter, whitening
 from pagetide.llm.shared import remainder, table
 from pagetide.session import stage
 
@@ -70,6 +70,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, "doc_id", "held_out").withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(*repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,8 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_simhash_near_dedup, op3_toxicity, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_language_id,
-        op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring, op12_embedding_whitening, op13_url_filters,
+        op7_sentencepiece, op8_pii_surrogates, op9_quality_rules, op10_lm_scoring, op11_conversation_repair, op12_embedding_whitening, op13_url_filters,
     )
 }
 
-ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE, "op13_url_filters": urlfilter.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op9_quality_rules": quality.ORACLE, "op11_conversation_repair": repair.ORACLE, "op13_url_filters": urlfilter.ORACLE}
