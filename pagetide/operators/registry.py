@@ -150,8 +150,13 @@ def history(visits: DataFrame, registry: DataFrame, hot: Hot | None = None) -> D
     return order.rows().select(*visits.columns, "changed", total.alias("change_count"))
 
 
-def upsert_visits(registry: DataFrame, visits: DataFrame, hot: Hot | None = None) -> DataFrame:
-    """Registry after any number of visits per url: url, seq, observed_at, content_hash, markdown_hash, status."""
+def upsert_visits(
+    registry: DataFrame, visits: DataFrame, hot: Hot | None = None, changes_only: bool = False
+) -> DataFrame:
+    """Registry after any number of visits per url: url, seq, observed_at, content_hash, markdown_hash, status.
+
+    With `changes_only`, just the rows of the visited urls.
+    """
     last = F.max_by(
         F.struct("content_hash", "markdown_hash", "observed_at", "status", "change_count"), F.col("seq")
     )
@@ -161,7 +166,8 @@ def upsert_visits(registry: DataFrame, visits: DataFrame, hot: Hot | None = None
         .agg(last.alias("l"), F.min_by("observed_at", "seq").alias("first_at"))
         .select("url", "first_at", "l.*")
     )
-    return _merge(registry, folded, F.col("n.change_count"), F.col("n.first_at"))
+    how = "right" if changes_only else "full_outer"
+    return _merge(registry, folded, F.col("n.change_count"), F.col("n.first_at"), how)
 
 
 def upsert(registry: DataFrame, batch: DataFrame) -> DataFrame:
@@ -173,12 +179,12 @@ def upsert(registry: DataFrame, batch: DataFrame) -> DataFrame:
     return _merge(registry, batch, count, F.col("n.observed_at"))
 
 
-def _merge(registry: DataFrame, news: DataFrame, count: Column, first_at: Column) -> DataFrame:
-    """Full outer join on url. Both sides hold a url once; rows without news survive as they are."""
+def _merge(registry: DataFrame, news: DataFrame, count: Column, first_at: Column, how: str = "full_outer") -> DataFrame:
+    """Join on url. Both sides hold a url once; rows without news survive a full join as they are."""
     o, n = registry.alias("o"), news.alias("n")
     touched = F.col("n.url").isNotNull()
     take = lambda new, old: F.when(touched, F.col("n." + new)).otherwise(F.col("o." + old))
-    return o.join(n, F.col("o.url") == F.col("n.url"), "full_outer").select(
+    return o.join(n, F.col("o.url") == F.col("n.url"), how).select(
         F.coalesce("o.url", "n.url").alias("url"),
         take("content_hash", "content_hash").alias("content_hash"),
         take("markdown_hash", "markdown_hash").alias("markdown_hash"),

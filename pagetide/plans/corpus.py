@@ -60,15 +60,31 @@ def variant_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def as_raw(pages: DataFrame) -> DataFrame:
-    """The observation columns of a table pages(page_id, url, html, content_type)."""
+DELIVERY = 420_000_000_000_000  # added to page_id for each further delivery; a multiple of all divisors used here
+LATER = (0, 3, 9)  # days after AS_OF of the deliveries
+
+
+def delivered_pages(pages: DataFrame, number: int) -> DataFrame:
+    """The pages as they are seen again later: with another query, and new text in some of them."""
+    if not number:
+        return pages.select("page_id", "url", "html")
+    new = F.replace("html", F.lit("</article>"), F.lit(f"<p>v{number}</p></article>"))
+    return pages.select(
+        (F.col("page_id") + number * DELIVERY).alias("page_id"),
+        F.concat("url", F.lit(f"?v={number}")).alias("url"),
+        F.when(F.col("page_id") % (number + 1) == 0, new).otherwise(F.col("html")).alias("html"),
+    )
+
+
+def as_raw(pages: DataFrame, later: int = 0) -> DataFrame:
+    """The observation columns of a table pages(page_id, url, html, content_type), made some days after AS_OF."""
     return pages.select(
         F.col("page_id").cast("bigint").alias("seq"),
         "url",
         F.col("html").alias("body"),
         "content_type",
         F.lit(200).alias("status"),
-        F.lit(AS_OF).cast("timestamp_ntz").alias("observed_at"),
+        (F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval(F.lit(later))).alias("observed_at"),
     )
 
 
@@ -78,13 +94,17 @@ def article_hash(pages: DataFrame):
 
 
 def derived_registry(pages: DataFrame) -> DataFrame:
-    """What an earlier run left behind: four of five pages, with stale, equal or missing hashes and mixed ages."""
+    """What an earlier run left behind, with stale, equal or missing hashes and mixed ages.
+
+    Every fifth page is not known by its url; its row is that of a page which is gone.
+    """
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     n = F.col("page_id")
     days = lambda d: F.make_dt_interval(d)
-    rows = pages.filter("page_id % 5 <> 0").select(
+    key = url_key(F.col("url"))
+    rows = pages.select(
         n.alias("page_id"),
-        url_key(F.col("url")).alias("url"),
+        F.when(n % 5 == 0, F.concat(key, F.lit("/gone"))).otherwise(key).alias("url"),
         F.when(n % 5 == 1, "")
         .when(n % 5 == 2, F.sha2(F.concat(F.lit("stale-"), n.cast("string")).cast("binary"), 256))
         .otherwise(article_hash(pages))
@@ -138,22 +158,23 @@ def document_entries(documents: DataFrame) -> DataFrame:
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """Documents as JSON Lines, two of ten in good order and the others damaged in one way each."""
+    """Documents as JSON Lines, two of ten in good order and the others odd or damaged in one way each."""
     n = F.col("doc_id")
     url = F.concat(F.lit("https://"), "source", F.lit("/"), n.cast("string"))
     full = F.to_json(F.struct(url.alias("url"), F.lit("T").alias("title"), F.col("text").alias("markdown_content")))
     bare = F.to_json(F.struct(F.col("text").alias("markdown_content")))
+    string = F.to_json(F.struct(F.col("text").alias("x")))  # {"x":"..."}
     line = (
         F.when(n % 10 == 0, full)
         .when(n % 10 == 1, bare)
         .when(n % 10 == 2, F.concat(full, F.lit(" xyz")))
-        .when(n % 10 == 3, F.concat(F.lit("{'markdown_content': 'single quotes'}")))
+        .when(n % 10 == 3, F.concat(F.lit("{'markdown_content': '"), F.translate("text", "'\"\\\n\t\r", ""), F.lit("'}")))
         .when(n % 10 == 4, F.to_json(F.struct(url.alias("url"), F.col("text").alias("content"))))
-        .when(n % 10 == 5, F.lit('{"url": "u", "markdown_content": null}'))
+        .when(n % 10 == 5, F.concat(F.lit('{"url": "u", "markdown_content": null, '), F.substr(string, F.lit(2))))
         .when(n % 10 == 6, F.concat(F.lit("["), full, F.lit("]")))
-        .when(n % 10 == 7, n.cast("string"))
-        .when(n % 10 == 8, F.lit(""))
-        .otherwise(F.substring(full, 1, 20))
+        .when(n % 10 == 7, F.regexp_replace(string, r'^\{"x":|\}$', ""))
+        .when(n % 10 == 8, F.regexp_replace("text", r"(?s).", " "))
+        .otherwise(F.regexp_replace(bare, r"\}$", ""))
     )
     return documents.select(n.cast("bigint").alias("seq"), line.alias("value"))
 

@@ -151,7 +151,7 @@ def registry_after_refresh(spark, sf):
 def registry_upsert(spark, sf):
     pages = _pages(spark, sf)
     n = F.col("page_id")
-    rows = pages.filter("page_id % 3 <> 1").select(
+    rows = pages.select(
         "page_id",
         urls.url_key(F.col("url")).alias("url"),
         F.lit(corpus.AS_OF).cast("timestamp_ntz").alias("observed_at"),
@@ -216,12 +216,11 @@ def link_counts(spark, sf):
 
 
 def scope_links(spark, sf):
-    """Links on the sites of a scope table; here the sites of every fourth page, every second one with subdomains."""
+    """Links on the sites of a scope table; here hosts of pages or the domains above them, some with subdomains."""
     pages = _pages(spark, sf)
     host = urls.authority(F.col("url"))
     sites = (
-        pages.filter("page_id % 4 = 0")
-        .select(F.when(F.length(host) % 2 == 0, host).otherwise(urls.site_key(host)).alias("domain"))
+        pages.select(F.when(F.length(host) % 2 == 0, host).otherwise(urls.site_key(host)).alias("domain"))
         .distinct()
         .withColumn("include_subdomains", F.length("domain") % 3 == 0)
     )
@@ -335,14 +334,13 @@ def page_decode(spark, sf):
 
 
 def incremental_refresh(spark, sf):
-    """The registry after the pages arrived as a stream of files."""
+    """The registry after the pages arrived three times, some days apart, as micro-batches of a stream."""
     pages = _pages(spark, sf)
-    stream = (
-        spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/pages*.parquet")
+    deliveries = (
+        corpus.as_raw(corpus.variant_pages(corpus.delivered_pages(pages, k)), days) for k, days in enumerate(corpus.LATER)
     )
-    raw = corpus.as_raw(corpus.variant_pages(stream))
-    return incremental.run_to_end(
-        raw, corpus.derived_registry(pages), f"{shared_dir(spark)}/stream", scope=EVERYTHING, refresh=WEEK
+    return incremental.run_deliveries(
+        deliveries, corpus.derived_registry(pages), f"{shared_dir(spark)}/stream", scope=EVERYTHING, refresh=WEEK, buckets=32
     )
 
 

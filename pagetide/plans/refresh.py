@@ -43,10 +43,10 @@ def _shown(fresh: str | Column, cached: str | Column) -> Column:
 def emit(pages: DataFrame, decisions: DataFrame, markdown: Markdown) -> DataFrame:
     """Rows that will be emitted, with text, decision columns and, if switched on, Markdown.
 
-    The gate comes first, so suppressed pages are never converted. Page text moves once, in the join on seq.
+    The gate comes first, so suppressed pages are never converted. Page text moves once, in the join on url and seq.
     """
-    chosen = decisions.filter("is_fresh OR is_cached").drop("url", "observed_at", "content_hash", "status")
-    rows = pages.drop("links").join(chosen, "seq")
+    chosen = decisions.filter("is_fresh OR is_cached").drop("observed_at", "content_hash", "status")
+    rows = pages.drop("links").join(chosen, ["url", "seq"])
     return add_markdown(rows, options=markdown) if markdown.enabled else rows
 
 
@@ -83,12 +83,16 @@ def refresh_job(
     markdown: Markdown = Markdown(),
     as_of: str | None = None,
     frontier: bool = True,
+    changes_only: bool = False,
 ) -> RefreshResult:
     """One batch of observations against the registry.
 
     The parsed pages are written once to the shared folder; decisions are made on their narrow columns only. Pages
-    without url or body go to `rejects`. `as_of` is the time at which the frontier is planned.
+    without url or body go to `rejects`. `as_of` is the time at which the frontier is planned. With `changes_only` the
+    new registry has just the rows of urls that were taken over, and `registry` need hold the urls of the batch only.
     """
+    if changes_only and frontier:
+        raise ValueError("the frontier needs the whole registry")
     usable, rejects = split_rejects(raw)
     pages = stage(page_records(as_observations(usable), scope, extract, frontier), "pages")
     narrow = pages.select("url", "seq", "observed_at", "content_hash", "status")
@@ -101,7 +105,7 @@ def refresh_job(
     else:
         no_hash = F.lit(None).cast("string").alias("markdown_hash")
         hashes = decisions.filter("is_fresh").select("url", "seq", "observed_at", "content_hash", no_hash, "status")
-    after = upsert_visits(registry, hashes, hot)
+    after = upsert_visits(registry, hashes, hot, changes_only)
     planned = None
     if frontier:
         if as_of is None:

@@ -7,7 +7,7 @@ from pagetide.config import Markdown, Refresh, Scope
 from pagetide.operators.registry import decide
 from pagetide.plans.refresh import refresh_job
 from pagetide.sources.observations import OBSERVATION
-from pagetide.sources.registry import REGISTRY, RegistryStore
+from pagetide.sources.registry import REGISTRY, RegistryTable
 from pagetide.streaming import incremental
 
 T0 = datetime(2024, 1, 1)
@@ -64,7 +64,7 @@ def write_batches(spark, folder):
 def test_stream_equals_batches(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     old = spark.createDataFrame(OLD, REGISTRY)
-    store = RegistryStore(spark, f"{root}/registry")
+    store = RegistryTable(spark, f"{root}/registry", buckets=16, most_deltas=1)
     store.commit(old, 0)
     expected = old
     refresh = Refresh("auto", 7)
