@@ -187,3 +187,27 @@ def page_edges(pages: DataFrame) -> DataFrame:
     targets = F.array((n * 7 + 1) % count, (n * 11 + 3) % count)
     out = pages.select(url_key(F.col("url")).alias("src"), F.explode(targets).alias("dst_id"))
     return out.join(ids, "dst_id").select("src", "dst")
+
+
+def failing_requests(pages: DataFrame) -> DataFrame:
+    """Observations of which some have no body, no url, or neither."""
+    raw = as_raw(variant_pages(pages))
+    return raw.withColumns({"body": F.when(F.col("seq") % 9 != 0, F.col("body")), "url": F.when(F.col("seq") % 13 != 0, F.col("url"))})
+
+
+# an element of each kind, some around the letters of an article, written as {w}
+ELEMENTS = (
+    '<article><h2>Some of it</h2><p>One <em>{w}</em> and <strong>two</strong> <a href="/to?x=1">three</a>.</p>'
+    "<ul><li>a</li><li>two<ul><li>{w}</li></ul></li></ul><ol><li>first</li><li>b</li></ol><blockquote>said</blockquote>"
+    '<img src="i.png" alt="seen"><table><tr><th>A</th><th>B</th></tr><tr><td>{w}</td><td>c</td></tr></table>'
+    '<pre><code class="language-py">{w}\n  x = 1</code></pre><hr><p>here<br>end <code>k = 2</code></p></article>'
+)
+
+
+def element_pages(pages: DataFrame) -> DataFrame:
+    """seq, url and content: ELEMENTS around the letters of each article."""
+    article = F.regexp_extract("html", r"(?s)<article>.*?</article>", 0)
+    words = F.trim(F.regexp_replace(F.regexp_replace(article, "<[^>]*>|&[a-z]+;?", " "), r"[^\p{L}]+", " "))
+    return pages.select(
+        F.col("page_id").alias("seq"), F.lit("http://h/a").alias("url"), F.replace(F.lit(ELEMENTS), F.lit("{w}"), words).alias("content")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pagetide.operators.skew import hot_keys
 from pagetide.plans import corpus
 from pagetide.plans.refresh import refresh_job
 from pagetide.session import shared_dir, stage
-from pagetide.sources import jsonl, observations
+from pagetide.sources import files, jsonl, observations, sinks
 from pagetide.streaming import incremental
 
 EVERYTHING = Scope.of(domains=("example.com", "example.net", "example.org"))
@@ -31,6 +32,8 @@ PREFIXES = Scope.of(
 WEEK = Refresh("auto", 7)
 PACK = Pack(max_bytes=16_384)
 CHUNK = Chunk(bytes=1_000)
+FILE_PACK = Pack(max_bytes=262_144, prefix="lines")
+FILE_CHUNK = Chunk(bytes=65_536)
 
 
 def _pages(spark, sf):
@@ -344,6 +347,69 @@ def incremental_refresh(spark, sf):
     )
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+def records_jsonl(spark, sf):
+    """The page records, written as JSON Lines and read again."""
+    records, path = _refresh(spark, sf).records, _folder(spark, "records")
+    sinks.write_records(records, path)
+    return spark.read.schema(records.schema).options(timestampNTZFormat=sinks.ISO, **jsonl.STRICT).json(path)
+
+
+def rejected_requests(spark, sf):
+    return observations.split_rejects(corpus.failing_requests(_pages(spark, sf)))[1]
+
+
+def _line_files(spark, sf):
+    """The documents as JSON Lines in files of bounded size."""
+    lines, path = stage(corpus.document_lines(_documents(spark, sf)), "json"), _folder(spark, "lines")
+    assigned = packing.assign_shards(lines.select("seq", packing.line_bytes(F.col("value")).alias("nbytes")), FILE_PACK)
+    sinks.write_shard_files(lines, assigned, path, FILE_PACK)
+    return files.read_lines(spark, path)
+
+
+def shard_files(spark, sf):
+    """Shards as files with exact names: every line of every file."""
+    lines = _line_files(spark, sf)
+    return lines.select(files.file_name(F.col("file")).alias("name"), "line", "seq", fingerprint(F.col("value")).alias("line_hash"))
+
+
+def jsonl_combined(spark, sf):
+    """Files of JSON Lines, read in the order of their lines and combined into one Markdown document."""
+    entries, _ = jsonl.read_entries(_line_files(spark, sf).drop("file", "line"))
+    pieces = combine.combine_entries(entries.withColumn("document", F.lit("all")), corpus.AS_OF, "document")
+    return pieces.select("seq", "piece")
+
+
+def _combined_files(spark, sf):
+    path = _folder(spark, "combined")
+    sinks.write_combined_files(entries_combined(spark, sf), path, "site")
+    return path
+
+
+def combined_files(spark, sf):
+    """A Markdown file for each site: its lines."""
+    lines = files.read_lines(spark, _combined_files(spark, sf))
+    return lines.select(files.file_name(F.col("file")).alias("name"), "line", fingerprint(F.col("value")).alias("line_hash"))
+
+
+def chunk_files(spark, sf):
+    """The Markdown files of the sites, cut into files of a fixed size."""
+    path = _folder(spark, "chunks")
+    sinks.write_chunk_files(files.read_chunks(spark, _combined_files(spark, sf), FILE_CHUNK), path, "file")
+    written = files.read_chunks(spark, path, FILE_CHUNK)  # each of them is one chunk
+    return written.select(F.col("file").alias("name"), F.octet_length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("bytes_hash"))
+
+
+def markdown_elements(spark, sf):
+    """Headings, emphasis, links, lists, quotes, images, tables, code and rules."""
+    return add_markdown(corpus.element_pages(_pages(spark, sf))).select(
+        F.col("seq").alias("page_id"), "markdown_content", "markdown_hash", "markdown_length"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -353,5 +419,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recent_pages, duplicate_content, duplicate_members, page_links, link_counts, scope_links, next_urls,
         reachable, byte_chunks, shard_pack, shard_manifest, entries_combined, entry_counts, jsonl_scan,
         jsonl_skipped, markdown_post, code_languages, markdown_corpus, page_decode, incremental_refresh,
+        records_jsonl, rejected_requests, shard_files, jsonl_combined, combined_files, chunk_files, markdown_elements,
     )
 }
