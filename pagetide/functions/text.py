@@ -10,8 +10,8 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
-    """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Remove white space, Unicode included, at both ends. A long run inside the text is looked at once."""
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def clean_html(html: Column) -> Column:
