@@ -10,8 +10,9 @@ from pagetide.functions.gates import emit_cached, emit_fresh, recrawl_due
 from pagetide.functions.text import change_label, truthy
 from pagetide.functions.urls import authority, site_key
 from pagetide.operators.skew import Hot, KeyedOrder, hot_keys, spread_join
-from pagetide.session import stage
+from pagetide.operators.takeover import take_over
 
+DAY = 86_400_000_000  # microseconds
 REG = "reg_"
 
 
@@ -67,10 +68,11 @@ def decide(observations: DataFrame, registry: DataFrame, refresh: Refresh, hot:
         order = order._with(order.df.withColumn("_open", F.coalesce(now >= since + wait, F.lit(True))))
         order = order.before(F.lit(True), "_taken", when=F.col("_open"))
         first = F.col("_open") & F.col("_taken").isNull()
-        order = order._with(order.df.withColumn("is_fresh", first).drop("_open", "_taken"))
+        settled = order._with(order.df.withColumn("is_fresh", first).drop("_open", "_taken"))
         span = observations.agg((F.max("observed_at") - F.min("observed_at") >= wait).alias("long")).first()["long"]
-        if span:
-            order = order._with(_later_rounds(order.df, wait, hot))
+        if span:  # a url may be taken over again
+            settled = take_over(KeyedOrder(known, "url", "seq", hot), "observed_at", since, refresh.days * DAY, "is_fresh")
+        order = settled
 
     held = F.struct(
         F.col("content_hash").alias("hash"),
@@ -94,35 +96,6 @@ def decide(observations: DataFrame, registry: DataFrame, refresh: Refresh, hot:
     )
 
 
-def _later_rounds(df: DataFrame, wait: Column, hot: Hot) -> DataFrame:
-    """Add the take-overs after the first one of each url, for batches that span more than the refresh age.
-
-    Every round finds, for all urls at once, the next observation at least `wait` after the last take-over. A url has
-    at most one take-over per refresh age, so the number of rounds is the time span of the batch over that age.
-    """
-    rows = stage(df, "decide")
-    turn = stage(rows.filter("is_fresh").select("url", F.col("seq").alias("_seq"), F.col("observed_at").alias("_at")), "turn")
-    turns = turn
-    while True:
-        later = spread_join(rows.select("url", "seq", "observed_at"), turn, "url", "inner", hot, "seq").filter(
-            (F.col("seq") > F.col("_seq")) & (F.col("observed_at") >= F.col("_at") + wait)
-        )
-        turn = stage(
-            later.groupBy("url").agg(F.min("seq").alias("_seq"), F.min_by("observed_at", "seq").alias("_at")),
-            "turn",
-        )
-        if turn.isEmpty():
-            break
-        turns = turns.unionByName(turn)
-    marked = turns.select("url", F.col("_seq").alias("seq"), F.lit(True).alias("_turn"))
-    return (
-        rows.drop("is_fresh")
-        .join(marked, ["url", "seq"], "left")
-        .withColumn("is_fresh", F.coalesce("_turn", F.lit(False)))
-        .drop("_turn")
-    )
-
-
 # --- history and upsert --------------------------------------------------------------------------------------
 
 
