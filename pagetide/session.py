@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,7 +55,23 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that no later step reads: each step that did has been written itself.
+
+    Shuffle files of the jobs before go with the driver's plans, once its collector has run.
+    """
+    for table in staged:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if staged:
+        gc.collect()
+        staged[0].sparkSession._jvm.System.gc()
 
 
 def keep_partitioned(df: DataFrame) -> DataFrame:
