@@ -5,8 +5,9 @@ Every byte that lies in a string of LENGTH bytes which starts anywhere else as w
 Spark deals out the work by content. The window of LENGTH bytes at each place has a smallest hash of its GRAM-byte
 strings; a piece is a run of places with the same smallest hash, with all bytes of their windows. Equal windows have
 equal smallest hashes, so they lie in pieces of the same hash. A hash of one piece, with one such string in it, holds
-no repeat and ends there. The others go, each distinct piece once with its number of copies, to tasks that take the pieces of
-many hashes at a time.
+no repeat and ends there. So far only places and digests move. If all pieces of a hash are copies of one, they are
+repeated from end to end. Of the other hashes each distinct piece is cut out of one of its documents and goes, with its
+number of copies, to tasks that take the pieces of many hashes at a time.
 
 A task sorts the suffixes of its pieces, and derives their common prefixes from the Burrows-Wheeler transform:
 intervals of suffixes are extended backward, breadth first, so common prefixes appear by increasing value, and the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm import shared
-from pagetide.session import stage
+from pagetide.session import release, stage
 
 LENGTH = 200
 GRAM = 48
@@ -206,82 +207,102 @@ def _spans(places: np.ndarray, length: int) -> list[list[int]]:
 def _span_rows(group: pa.Table, piece: np.ndarray, place: np.ndarray, length: int) -> pa.Table:
     rows, cut = np.unique(piece, return_index=True)
     spans = [_spans(p, length) for p in (np.split(place, cut[1:]) if len(rows) else [])]
-    t1, t2 = (group.column(c).to_numpy()[rows] for c in ("t1", "t2"))
+    h, t = (group.column(c).to_numpy()[rows] for c in ("h", "t"))
     flat = pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-    return pa.table({"t1": t1, "t2": t2, "spans": flat})
+    return pa.table({"h": h, "t": t, "spans": flat})
 
 
-SPANS = "t1 long, t2 long, spans array<struct<a: int, b: int>>"
+SPANS = "h long, t long, spans array<struct<a: int, b: int>>"  # a piece is named by its smallest hash and its digest
 
 
 # ---- tables
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Documents that hold pieces of a repeated hash (doc_id, k, text), and their repeated spans (doc_id, k, a, b).
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k"] == b["k"])
 
-    k is a hash of doc_id and text; spans of bytes may overlap.
-    """
+
+def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `wanted` (doc_id, k, ...), each with the text of its document; only these texts are shuffled if the keys are few."""
+    rest = [c for c in wanted.columns if c not in ("doc_id", "k")]
+    wanted = wanted.withColumnsRenamed({"doc_id": "_doc", "k": "_k"})
+    keys = shared.bounded(wanted.select(F.col("_doc").alias("_one"), F.col("_k").alias("_other")))
+    few = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_one")) & (F.col("k") == F.col("_other")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k") == F.col("_k"))
+    return few.join(wanted, same).select("doc_id", "k", *rest, "text")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    """Staged: doc_id, k (a hash of doc_id and text) and their repeated spans of bytes (a, b), which may overlap."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for lo, hi, data, offsets in shared.text_slices(shared.text_column(batch)):
                 row, first, last, h, twice = _pieces(data, offsets, length, gram)
                 at = pa.array(row + lo)
+                raw, begin = memoryview(data.tobytes()), offsets[row]
+                t = [digest(raw[a:b]) for a, b in zip((begin + first).tolist(), (begin + last + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(twice)],
-                    ["doc_id", "k", "first", "last", "h", "inner"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                     pa.array(h.view(np.int64)), pa.array(np.array(t, U).view(np.int64)), pa.array(twice)],
+                    ["doc_id", "k", "first", "last", "h", "t", "inner"],
                 )
 
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    found = stage(keyed.mapInArrow(find, f"doc_id {key_type}, k long, first int, last int, h long, inner boolean"), "pieces")
+    found = stage(keyed.mapInArrow(find, f"doc_id {key_type}, k long, first int, last int, h long, t long, inner boolean"), "pieces")
     twice = found.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("inner").alias("inner")).filter("n > 1 OR inner").select("h")
-    per_doc = found.join(twice, "h").groupBy("doc_id", "k").agg(F.collect_set(F.struct("first", "last", "h")).alias("pieces"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k"] == b["k"])
-    held = stage(keyed.join(per_doc, same(keyed, per_doc)).select(keyed["doc_id"], keyed["k"], "text", "pieces"), "held")
-
-    def cut(with_text: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    data = batch.column(2)[i].as_buffer().to_pybytes()
-                    pieces = batch.column(3)[i].values
-                    first, last, h = (x.to_numpy() for x in pieces.flatten())
-                    parts = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    digest = np.frombuffer(b"".join([xxhash.xxh128_digest(p) for p in parts]), np.int64).reshape(-1, 2)
-                    t = [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-                    if with_text:
-                        yield pa.RecordBatch.from_arrays([*t, pa.array(h), pa.array(parts, pa.binary())], ["t1", "t2", "h", "piece"])
-                    else:
-                        same = pa.array(np.full(len(first), i))
-                        yield pa.RecordBatch.from_arrays(
-                            [*t, batch.column(0).take(same), batch.column(1).take(same), pa.array(first)], ["t1", "t2", "doc_id", "k", "first"]
-                        )
-
-        return run
-
-    pieces = held.mapInArrow(cut(True), "t1 long, t2 long, h long, piece binary").groupBy("t1", "t2").agg(
-        F.first("h").alias("h"), F.first("piece").alias("piece"), F.count("*").alias("n")
-    )
+    places = stage(found.drop("inner").join(twice, "h"), "places")
+    release(found)
+    owner = F.min(F.struct("doc_id", "k", "first", "last")).alias("owner")
+    pieces = places.groupBy("h", "t").agg(F.count("*").alias("n"), owner).withColumn("size", F.expr("owner.last - owner.first") + length)
     pieces = stage(pieces, "distinct")
-    total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    by_hash = pieces.groupBy("h").agg(F.sum(F.octet_length("piece")).alias("bytes"))
-    sized = pieces.join(by_hash, "h")
+    by_hash = pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes"))
+    sized = stage(pieces.join(by_hash, "h"), "sized")
+    release(pieces)
+    alike = F.expr("kinds = 1 AND n > 1")
+    whole = sized.filter(alike).select("h", "t", F.array(F.struct(F.lit(0).alias("a"), F.col("size").cast("int").alias("b"))).alias("spans"))
+    open_ = sized.filter(~alike)
+    total = open_.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, total // BLOCK)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["first", "last", "h", "t", "n"]
+            for i in range(batch.num_rows):
+                data = batch.column(3)[i].as_buffer().to_pybytes()
+                first, last, *rest = batch.column(2)[i].values.flatten()
+                parts = [data[a : b + length] for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(parts, pa.binary())], [*names[2:], "piece"])
+
+    def cut_out(some: DataFrame) -> DataFrame:
+        """h, t, n and the bytes of pieces, each from its one owner."""
+        own = some.select("owner.doc_id", "owner.k", F.struct("owner.first", "owner.last", "h", "t", "n").alias("p"))
+        own = stage(own.groupBy("doc_id", "k").agg(F.collect_list("p").alias("pieces")), "owners")
+        text = _texts(keyed, own)
+        # rows that repeat a document give its pieces again
+        return text.mapInArrow(cut, "h long, t long, n long, piece binary").dropDuplicates(["h", "t"])
+
     def expand(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         piece, place = _repeats(group.column("piece").to_pylist(), group.column("n").to_numpy(), length)
         return _span_rows(group, piece, place, length)
 
-    small = sized.filter(F.col("bytes") <= most).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    spans = small.select("bucket", "t1", "t2", "piece", "n").groupBy("bucket").applyInArrow(expand, SPANS)
-    large = stage(sized.filter(F.col("bytes") > most).select("t1", "t2", "piece", "n"), "large")
+    small = cut_out(open_.filter(F.col("bytes") <= most)).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    spans = whole.unionByName(small.groupBy("bucket").applyInArrow(expand, SPANS))
+    large = open_.filter(F.col("bytes") > most)
     if not large.isEmpty():
-        spans = spans.unionByName(_counted(large, length))
+        spans = spans.unionByName(_counted(stage(cut_out(large), "large"), length))
     spans = stage(spans.filter(F.size("spans") > 0), "spans")
-    placed = held.mapInArrow(cut(False), f"t1 long, t2 long, doc_id {key_type}, k long, first int").join(spans, ["t1", "t2"])
-    each = placed.select("doc_id", "k", "first", F.explode("spans").alias("s"))
-    return held.select("doc_id", "k", "text"), each.select("doc_id", "k", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
+    release(sized)
+    each = places.join(spans, ["h", "t"]).select("doc_id", "k", "first", F.explode("spans").alias("s"))
+    out = stage(
+        each.groupBy("doc_id", "k").agg(
+            F.sort_array(F.collect_set(F.struct((F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")))).alias("spans")
+        ),
+        "repeated",
+    )
+    release(places, spans)
+    return out
 
 
 def _counted(pieces: DataFrame, length: int) -> DataFrame:
@@ -289,40 +310,40 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2, piece, n = (c.to_pylist() for c in batch.columns)
-            for x, y, p, m in zip(t1, t2, piece, n, strict=True):
+            h, t, n, piece = (c.to_pylist() for c in batch.columns)
+            for x, y, p, m in zip(h, t, piece, n, strict=True):
                 places = range(len(p) - length + 1)
                 w = np.frombuffer(b"".join([xxhash.xxh128_digest(p[i : i + length]) for i in places]), np.int64).reshape(-1, 2)
                 k = len(w)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([x] * k, pa.int64()), pa.array([y] * k, pa.int64()),
                      pa.array(np.arange(k, dtype=np.int32)), pa.array([m] * k, pa.int64())],
-                    ["w1", "w2", "t1", "t2", "place", "n"],
+                    ["w1", "w2", "h", "t", "place", "n"],
                 )
 
-    each = stage(pieces.mapInArrow(windows, "w1 long, w2 long, t1 long, t2 long, place int, n long"), "windows")
+    each = stage(pieces.mapInArrow(windows, "w1 long, w2 long, h long, t long, place int, n long"), "windows")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("all > 1").select("w1", "w2")
     # the places of a piece are as many as its bytes at most; a span for each run of places that reach each other
-    places = each.join(twice, ["w1", "w2"]).groupBy("t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = each.join(twice, ["w1", "w2"]).groupBy("h", "t").agg(F.sort_array(F.collect_set("place")).alias("places"))
     at = lambda i: F.get("places", i)
     a = F.filter("places", lambda p, i: (i == 0) | (p - at(i - 1) > length))
     b = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (at(i + 1) - p > length))
-    return places.select("t1", "t2", F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), (y + length).alias("b"))).alias("spans"))
+    return places.select("h", "t", F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), (y + length).alias("b"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    held, spans = repeated_spans(docs, length, gram, most)
+    per_doc = repeated_spans(docs, length, gram, most)
     key_type = docs.schema["doc_id"].dataType.simpleString()
-    per_doc = spans.groupBy("doc_id", "k").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, runs, digest = [], [], []
             for i in range(batch.num_rows):
-                data, n, k, last = batch.column(2)[i].as_buffer(), 0, 0, 0
+                data, n, k, last = batch.column(3)[i].as_buffer(), 0, 0, 0
                 hasher = hashlib.sha256()
-                for a, b in zip(*(x.to_numpy().tolist() for x in batch.column(3)[i].values.flatten()), strict=True):
+                for a, b in zip(*(x.to_numpy().tolist() for x in batch.column(2)[i].values.flatten()), strict=True):
                     if a > last or not k and not a:  # a new run; spans that touch are one
                         k += 1
                     if a > last:
@@ -338,15 +359,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 ["doc_id", "k", "n_removed", "n_spans", "sha"],
             )
 
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["k"] == b["k"])
-    changed = held.join(per_doc, same(held, per_doc)).select(held["doc_id"], held["k"], "text", "spans").mapInArrow(
+    changed = _texts(keyed, per_doc).mapInArrow(
         drop, f"doc_id {key_type}, k long, n_removed long, n_spans long, sha string"
     ).dropDuplicates(["doc_id", "k"])
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("k"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole")
     )
-    return plain.join(changed, same(plain, changed), "left").select(
+    return plain.join(changed, _same(plain, changed), "left").select(
         plain["doc_id"], "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
     )
