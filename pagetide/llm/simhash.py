@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.llm import shared
 from pagetide.llm.components import components
-from pagetide.session import stage
+from pagetide.session import release, stage
 
 LEAVES = 120_000  # leaves of a node pair that one task takes
 STEP = 4  # bits a round
@@ -281,142 +282,187 @@ def near_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFram
 
 # ---- texts that share 0.8 of their shingles
 
-SAMPLE = 5_000_000  # shingles, of whole texts, in which frequent ones are looked for
+SAMPLE = 2_000_000  # shingles, of whole texts, in which frequent ones are looked for, about
 FREQUENT = 50_000  # frequent shingles that are put last, at most
+CHECKED = 400_000  # shingles of texts that are compared in one group of a task, about
+BAND = 1.05  # sizes of sets that differ by less may be in one band
 OVERLAP = "9 * both >= 4 * (na + nb)"  # sets of na and nb with `both` in common: both / (na + nb - both) >= 0.8
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, k (the row key), node (a hash of the set), fp (its SimHash), n and members (sorted hashes of the distinct shingles)."""
+def _members(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the distinct shingles of some texts at a time, and how many each text has."""
+    for _, _, data, offsets in shared.text_slices(column, SLICE):
+        h, count = _shingle_hashes(data, offsets, shingle)
+        row = np.repeat(np.arange(len(count)), count)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        yield h[new], np.bincount(row[new], minlength=len(count))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members, sizes, nodes, prints = [], [], [], []
-            for _, _, data, offsets in shared.text_slices(shared.text_column(batch), SLICE):
-                h, count = _shingle_hashes(data, offsets, shingle)
-                row = np.repeat(np.arange(len(count)), count)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, n = h[new], np.bincount(row[new], minlength=len(count))
-                ends = np.cumsum(n).tolist()
-                raw = memoryview(h.tobytes())
-                nodes.append(np.array([xxhash.xxh64_intdigest(raw[8 * s : 8 * e], 42) for s, e in zip([0, *ends], ends)], U))
-                prints.append(_majority(h, n, 1)[:, 0])
-                members.append(h)
-                sizes.append(n)
-            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            n = flat(sizes, np.int64)
-            sets = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat(members, U).view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
-                 pa.array(n.astype(np.int32)), sets],
-                ["doc_id", "k", "node", "fp", "n", "members"],
-            )
 
-    return docs.select(F.col("doc_id").cast("long"), shared.row_key(docs).alias("k"), "text").mapInArrow(
-        run, "doc_id long, k long, node long, fp long, n int, members array<long>"
-    )
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of frequent shingles, the rarest of them first. Which ones these are changes the work, not the result."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about
+    part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-words // SAMPLE)))) == 0).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, _ in _members(shared.text_column(batch), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-def _frequent(sets: DataFrame, total: int) -> np.ndarray:
-    """Hashes of frequent shingles, the rarest of them first. Which ones these are changes the work, not the result."""
-    part = sets.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
-    counts = part.select("node", F.explode("members").alias("h")).distinct().groupBy("h").count().filter("count >= 4")
+    counts = part.mapInArrow(run, "h long").groupBy("h").count().filter("count >= 4")
     found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()
     return np.array([r[0] for r in reversed(found)], np.int64).view(U)
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """h, node, n: the first n - 0.8 n + 1 members of each set, in an order of all shingles with the frequent ones last.
+def shingle_sets(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, k (the row key), node (a hash of the set of distinct shingles), fp (its SimHash), n and prefix.
 
-    Two sets that are 0.8 similar have one of these in common, whatever the order is.
+    The prefix has the first n - 0.8 n + 1 members, in an order of all shingles with the frequent ones last. Two sets that are
+    0.8 similar have one of these in common, whatever the order is.
     """
     place = np.argsort(frequent)
     known = frequent[place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy().astype(np.int64)
-            h = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(U)
-            row = np.repeat(np.arange(len(n)), n)
-            rank = np.zeros(len(h), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                rank = np.where(known[at] == h, place[at] + 1, 0)
-            order = np.lexsort((h, rank, row))
-            nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            take = order[nth < (n - (4 * n + 4) // 5 + 1)[row]]
+            prefixes, lengths, sizes, nodes, prints = [], [], [], [], []
+            for h, n in _members(shared.text_column(batch), shingle):
+                ends = np.cumsum(n).tolist()
+                raw = memoryview(h.tobytes())
+                nodes.append(np.array([xxhash.xxh64_intdigest(raw[8 * s : 8 * e], 42) for s, e in zip([0, *ends], ends)], U))
+                prints.append(_majority(h, n, 1)[:, 0])
+                sizes.append(n)
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, place[at] + 1, 0)
+                order = np.lexsort((h, rank, row))
+                nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+                prefixes.append(h[order[nth < length[row]]])
+                lengths.append(length)
+            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            starts = np.concatenate(([0], np.cumsum(flat(lengths, np.int64)))).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat(prefixes, U).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[take].view(np.int64)), batch.column(0).take(pa.array(row[take])), batch.column(1).take(pa.array(row[take]))],
-                ["h", "node", "n"],
+                [batch.column(0), batch.column(1), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
+                 pa.array(flat(sizes, np.int64).astype(np.int32)), prefix],
+                ["doc_id", "k", "node", "fp", "n", "prefix"],
             )
 
-    return sets.select("node", "n", "members").mapInArrow(run, "h long, node long, n int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", shared.row_key(docs).alias("k"), "text").mapInArrow(
+        run, f"doc_id {kind}, k long, node long, fp long, n int, prefix array<long>"
+    )
+
 
+def _texts(docs: DataFrame, ends: DataFrame, classes: DataFrame) -> DataFrame:
+    """Staged: node and the text of one of its rows. Only these texts are shuffled if there are few."""
+    wanted = stage(ends.join(classes, "node").select("node", F.col("of").alias("k")), "ends")
+    keys = shared.bounded(wanted.select(F.col("k").alias("_k")))
+    keyed = docs.select(shared.row_key(docs).alias("k"), "text")
+    one = keyed.join(keys, keyed["k"] == F.col("_k"), "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    return stage(one.join(wanted, "k").select("node", "text"), "texts")
 
-def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: the pairs of nodes whose sets are 0.8 similar, counted member by member."""
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """Staged: a, b: the pairs of nodes whose sets are 0.8 similar, counted member by member.
+
+    A text meets those of all its partners in one place, or in several if they are many.
+    """
     pairs = stage(pairs.select("a", "b").distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ends.join(classes, "node").select("node", F.col("of").alias("k"))  # one row of each
-    held = stage(sets.join(wanted, ["node", "k"]).select("node", "n", "members").dropDuplicates(["node"]), "held")
-    x = held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
-    y = held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).alias("both")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", both).filter(OVERLAP).select("a", "b")
+    texts = _texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), classes)
+    sized = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b")
+    load = stage(sized.groupBy("a").agg(F.sum("n").alias("n")).withColumn("parts", F.floor(F.col("n") / CHECKED) + 1), "load")
+    groups = (load.agg(F.sum("n")).first()[0] or 0) // CHECKED + 1
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
+    partners = pairs.join(load, "a").select("a", part, F.col("b").alias("node"))
+    own = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    tasks = stage(partners.unionByName(own), "tasks")
+    met = tasks.join(texts, "node").select(F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("g"), "a", "node", "text")
+
+    def sets(table: pa.Table) -> list[np.ndarray]:
+        out = []
+        for chunk in table.column("text").chunks:
+            column = pc.fill_null(chunk.cast(pa.large_string()), "")
+            for h, n in _members(column, shingle):
+                out += np.split(h, np.cumsum(n)[:-1])
+        return out
+
+    def check(group: pa.Table) -> pa.Table:
+        a, node = (group.column(c).to_numpy() for c in ("a", "node"))
+        members = sets(group)
+        of = {k: members[i] for i, k in enumerate(a.tolist()) if node[i] == k}
+        found = []
+        for i in np.flatnonzero(a != node):
+            x, y = of[int(a[i])], members[i]
+            if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                found.append(i)
+        return pa.table({"a": pa.array(a[found]), "b": pa.array(node[found])})
+
+    out = stage(met.groupBy("g").applyInArrow(check, "a long, b long").distinct(), "verified")
+    release(pairs, texts, load, tasks)
+    return out
 
 
-def _alike(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: links between sets that are 0.8 similar, enough for the components of all such links.
+def _alike(buckets: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """Staged: a, b: links between sets that are 0.8 similar, enough for the components of all such links.
 
     First come the pairs that SimHash names (fingerprints with at most two differing bits) and those of each set with
     the smallest set of a bucket (sets with one prefix member in common). They hold large groups together with few
-    links. Then all pairs of a bucket are taken whose sets are not in one component yet.
+    links. Then pairs of a bucket are taken whose sets are not in one component yet. At the first member that two
+    similar sets share, neither has fewer members left than they must have in common; so at each place of a prefix there
+    is a largest size of a partner (`most`), and only sets whose sizes suit each other's places are paired. Their
+    common prefix members are counted before any text is fetched.
     """
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    entries = _prefixes(sets, _frequent(sets, total)).repartition("h").dropDuplicates(["h", "node"])
-    bucket = Window.partitionBy("h")
-    buckets = stage(
-        entries.withColumn("size", F.count("*").over(bucket)).withColumn("lead", F.min(F.struct("node", "n")).over(bucket))
-        .filter("size > 1").select("h", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")),
-        "buckets",
-    )
     # `shared` prefix members in common; beyond the shorter prefix at most 0.8 n - 1 members follow
     likely = "9 * (shared + (4 * greatest(na, nb) + 4) div 5 - 1) >= 4 * (na + nb)"
-    sizes = "5 * least(na, nb) >= 4 * greatest(na, nb)"
-    leading = buckets.filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).filter(sizes)
-    leading = leading.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely).select("a", "b")
+    leading = buckets.filter("node <> a AND 5 * least(na, n) >= 4 * greatest(na, n)").groupBy("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    leading = leading.agg(F.count("*").alias("shared")).filter(likely).select("a", "b")
     prints = stage(classes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
     equal = classes.join(prints.withColumnRenamed("node", "a"), "fp").filter("node <> a").select("a", F.col("node").alias("b"))
     near = trie_join(
         prints.select(F.lit(0).alias("tab"), F.col("fp").alias("leaf"), "node", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sketch")), 64, 2
     )
-    first = stage(_verified(leading.union(equal).union(near.select("a", "b")), sets, classes), "first")
-    c = buckets.select("h", "node", "n").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    c = stage(
-        c.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
-        .filter("lo <> hi").select("h", "node", "n", "component"),
-        "open",
-    )
-    x = c.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = c.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "h").filter(f"a < b AND ca <> cb AND {sizes}").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return first.union(_verified(rest.filter(likely), sets, classes))
+    first = _verified(leading.union(equal).union(near.select("a", "b")), docs, classes, shingle)
+    c = buckets.select("h", "node", "n", "most").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = c.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
+    c = stage(c.join(parted, "h"), "open")
+    band = lambda size: F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
+    x = c.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    y = c.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    smaller = x.filter("na <= ma").withColumn("band", F.explode(F.sequence(band(F.col("na")), band(F.col("ma")))))
+    suits = "ca <> cb AND na <= nb AND nb <= ma AND na <= mb AND (na < nb OR a < b)"
+    pairs = stage(smaller.join(y.withColumn("band", band(F.col("nb"))), ["h", "band"]).filter(suits).select("a", "b", "na", "nb").distinct(), "pairs")
+    counted = pairs.join(c.select(F.col("node").alias("a"), "h"), "a").join(c.select(F.col("node").alias("b"), "h"), ["b", "h"])
+    counted = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely)
+    rest = _verified(counted, docs, classes, shingle)
+    release(c, pairs)
+    return first.union(rest)
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, component_id, k (the row key): texts linked if they share 0.8 or more of their distinct shingles.
 
     Every link is counted on the shingles themselves, and no pair at 0.8 or more is missed, at any size of the input;
-    only shingles are taken as equal if their 64-bit hashes are.
+    only shingles are taken as equal if their 64-bit hashes are. Shingles are made again for the texts that are compared, so
+    no more than a fifth of them is ever written.
     """
-    sets = stage(shingle_sets(docs, shingle), "sets")
+    sets = stage(shingle_sets(docs, shingle, _frequent(docs, shingle)), "sets")
+    rows = stage(sets.select("doc_id", "k", "node"), "rows")
     classes = stage(sets.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("k").alias("of")), "classes")
-    return _with_components(sets.select("doc_id", "k", "node"), stage(_alike(sets, classes), "alike")).select("doc_id", "component_id", "k")
+    entries = sets.select("node", "n", F.posexplode("prefix").alias("p", "h"))
+    entries = entries.select("h", "node", "n", F.expr("CAST((9 * (n - p) - 4 * n) div 4 AS INT)").alias("most"))
+    lead = entries.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).filter("lead.node <> top")
+    buckets = entries.join(lead, "h").select("h", "node", "n", "most", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
+    buckets = stage(buckets.dropDuplicates(["h", "node"]), "buckets")
+    release(sets)
+    alike = _alike(buckets, docs, classes, shingle)
+    release(buckets)
+    return _with_components(rows, alike).select("doc_id", "component_id", "k")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
