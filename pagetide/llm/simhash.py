@@ -283,6 +283,7 @@ def near_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFram
 # ---- texts that share 0.8 of their shingles
 
 SAMPLE = 2_000_000  # shingles, of whole texts, in which frequent ones are looked for, about
+TURNS = (1, 8)  # how many of every bucket each set meets in a turn, before all pairs that are left
 FREQUENT = 50_000  # frequent shingles that are put last, at most
 CHECKED = 400_000  # shingles of texts that are compared in one group of a task, about
 BAND = 1.05  # sizes of sets that differ by less may be in one band
@@ -413,7 +414,8 @@ def _alike(buckets: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
 
     First come the pairs that SimHash names (fingerprints with at most two differing bits) and those of each set with
     the smallest set of a bucket (sets with one prefix member in common). They hold large groups together with few
-    links. Then pairs of a bucket are taken whose sets are not in one component yet. At the first member that two
+    links. Then, in two turns, each set meets some of its bucket that are not in its component yet, others in every
+    bucket, and at last all pairs of a bucket are taken whose sets are in different components still. At the first member that two
     similar sets share, neither has fewer members left than they must have in common; so at each place of a prefix there
     is a largest size of a partner (`most`), and only sets whose sizes suit each other's places are paired. Their
     common prefix members are counted before any text is fetched.
@@ -427,21 +429,41 @@ def _alike(buckets: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     near = trie_join(
         prints.select(F.lit(0).alias("tab"), F.col("fp").alias("leaf"), "node", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sketch")), 64, 2
     )
-    first = _verified(leading.union(equal).union(near.select("a", "b")), docs, classes, shingle)
-    c = buckets.select("h", "node", "n", "most").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = c.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-    c = stage(c.join(parted, "h"), "open")
-    band = lambda size: F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
-    x = c.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
-    y = c.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
-    smaller = x.filter("na <= ma").withColumn("band", F.explode(F.sequence(band(F.col("na")), band(F.col("ma")))))
+    links = _verified(leading.union(equal).union(near.select("a", "b")), docs, classes, shingle)
+
+    def open_buckets() -> DataFrame:
+        """Staged: the sets of buckets with several components."""
+        c = buckets.select("h", "node", "n", "most").join(components(links), "node", "left")
+        c = c.withColumn("component", F.coalesce("component", "node"))
+        parted = c.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
+        return stage(c.join(parted, "h"), "open")
+
+    def checked(c: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b, na, nb); their common prefix members are counted before any text is fetched."""
+        pairs = stage(pairs.distinct(), "pairs")
+        counted = pairs.join(c.select(F.col("node").alias("a"), "h"), "a").join(c.select(F.col("node").alias("b"), "h"), ["b", "h"])
+        counted = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely)
+        found = _verified(counted, docs, classes, shingle)
+        release(c, pairs)
+        return found
+
     suits = "ca <> cb AND na <= nb AND nb <= ma AND na <= mb AND (na < nb OR a < b)"
-    pairs = stage(smaller.join(y.withColumn("band", band(F.col("nb"))), ["h", "band"]).filter(suits).select("a", "b", "na", "nb").distinct(), "pairs")
-    counted = pairs.join(c.select(F.col("node").alias("a"), "h"), "a").join(c.select(F.col("node").alias("b"), "h"), ["b", "h"])
-    counted = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely)
-    rest = _verified(counted, docs, classes, shingle)
-    release(c, pairs)
-    return first.union(rest)
+    named = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("component").alias(f"c{x}")]
+    for turn, meetings in enumerate(TURNS):  # each set and some of its bucket, others in every bucket and turn
+        c = open_buckets()
+        drawn = [F.min_by(F.struct("node", "n", "most", "component"), F.xxhash64("node", "h", F.lit(turn + 10 * i))) for i in range(meetings)]
+        met = c.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("met"))
+        one = c.join(met, "h").withColumn("met", F.explode("met")).filter("component <> met.component")
+        other = [F.col("met.node").alias("b"), F.col("met.n").alias("nb"), F.col("met.most").alias("mb"), F.col("met.component").alias("cb")]
+        one = one.select(*named("a"), *other).filter("nb <= ma AND na <= mb")
+        turned = one.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
+        pairs = one.select("a", "b", "na", "nb").unionByName(turned).filter("a < b")
+        links = links.union(checked(c, pairs))
+    c = open_buckets()
+    band = lambda size: F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
+    smaller = c.select("h", *named("a")).filter("na <= ma").withColumn("band", F.explode(F.sequence(band(F.col("na")), band(F.col("ma")))))
+    larger = c.select("h", *named("b")).withColumn("band", band(F.col("nb")))
+    return links.union(checked(c, smaller.join(larger, ["h", "band"]).filter(suits).select("a", "b", "na", "nb")))
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
