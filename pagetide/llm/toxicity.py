@@ -3,7 +3,7 @@
 In how many toxic and clean texts each hashed n-gram occurs is counted over all labelled training rows. Its
 ratio r = log of (share among toxic / share among clean) scales the feature; n-grams whose ratio is within the noise
 are left out. A logistic regression on the scaled features is fitted on a sample of at most SAMPLE rows of each class
-(the rows with the smallest hashes of doc_id), and its intercept is corrected to the real shares of the classes.
+(the different rows with the smallest hashes of doc_id), and its intercept is corrected to the real shares of the classes.
 
 Defined results: a null or empty text gets the score of a text without any known n-gram. Rows without a label are not
 learned from; of several labels of a document the largest counts. Without both classes every score is the share of
@@ -30,11 +30,10 @@ PARTS = 16  # pieces of the count vectors
 SAMPLE = 2_000  # rows of each class for the regression
 NOISE = 4.0  # standard errors that a ratio must differ from 0
 CHARS = 1 << 19
-U = np.uint64
 
 
 def _features(texts: list[str], wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """first, end, rows and buckets of the distinct n-grams of these texts (only buckets that are wanted)."""
+    """first, end, rows and buckets of the distinct n-grams of at most 512 texts (only buckets that are wanted)."""
     lo = 0
     while lo < len(texts):
         hi, n = lo, 0
@@ -42,24 +41,27 @@ def _features(texts: list[str], wanted: np.ndarray | None = None) -> Iterator[tu
             n += len(texts[hi])
             hi += 1
         part = [f" {t.lower()} " for t in texts[lo:hi]]
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-        row = np.repeat(np.arange(hi - lo), [len(t) for t in part])
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(hi - lo, dtype=np.uint32), [len(t) for t in part])
         keys = []
-        for order in ORDERS:
-            size = len(codes) - order + 1
+        h = np.zeros(len(codes), np.uint32)
+        for k in range(max(ORDERS)):  # one chain of hashes: each order goes on from the shorter one
+            size = len(codes) - k
             if size <= 0:
+                break
+            h = (h[:size] ^ codes[k:]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            if k + 1 not in ORDERS:
                 continue
-            h = np.full(size, order, U)
-            for k in range(order):
-                h = (h ^ codes[k : k + size]) * U(0x9E3779B97F4A7C15)
-                h ^= h >> U(31)
-            bucket = (shared.mix(h) >> U(64 - BITS)).astype(np.int64)
-            own = row[:size]
-            keep = own == row[order - 1 :]
+            bucket = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+            keep = row[:size] == row[k:]
             if wanted is not None:
                 keep &= wanted[bucket]
-            keys.append((own[keep] << BITS) | bucket[keep])
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            keys.append((row[:size][keep] << np.uint32(BITS)) | bucket[keep])
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new].astype(np.int64)
         yield lo, hi, key >> BITS, key & ((1 << BITS) - 1)
         lo = hi
 
@@ -142,9 +144,10 @@ def fit(training: DataFrame) -> Model:
     q, p = counts[0, :-1] + 1.0, counts[1, :-1] + 1.0
     ratio = np.log(p / (toxic + 2)) - np.log(q / (clean + 2))
     wanted = np.abs(ratio) > NOISE * np.sqrt(1 / p + 1 / q)
-    ids = training.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    chosen = [ids.filter(f"toxic = {k}").orderBy("h", "doc_id").limit(SAMPLE) for k in (0, 1)]
-    chosen = stage(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id")).distinct(), "sample")
+    # a row that stands there several times fills the sample once
+    ids = training.select("toxic", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("k")).distinct()
+    chosen = [ids.filter(f"toxic = {k}").orderBy("h", "k").limit(SAMPLE) for k in (0, 1)]
+    chosen = stage(chosen[0].unionByName(chosen[1]).select(F.col("k").alias("chosen")).distinct(), "sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.few_rows(batches):
@@ -154,7 +157,8 @@ def fit(training: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], ["toxic", "f"])
 
     # at most 2 * SAMPLE rows by construction
-    sample = training.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").select("text", F.col("toxic").cast("int"))
+    sample = training.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("k"))
+    sample = sample.join(F.broadcast(chosen), F.col("k") == F.col("chosen"), "left_semi").dropDuplicates(["toxic", "k"]).select("text", "toxic")
     rows = sample.mapInArrow(features, "toxic int, f binary").collect()
     label = np.array([r["toxic"] for r in rows], float)
     weight, bias = _regression([np.frombuffer(r["f"], np.int32) for r in rows], label, np.where(wanted, ratio, 0.0))
