@@ -113,14 +113,17 @@ def _regression(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) ->
     seen[bucket] = True
     feature = np.flatnonzero(seen)
     index = (np.cumsum(seen, dtype=np.int32) - 1)[bucket]
-    x = ratio[bucket].astype(np.float32)
+    x = ratio.astype(np.float32)[bucket]
+    del bucket
+    slices = [slice(i, i + CHARS) for i in range(0, len(index), CHARS)]  # few numbers at a time beside the sample itself
+    added = lambda where, values, size: sum((np.bincount(where[s], values(s), minlength=size) for s in slices), np.zeros(size))
     w, b = np.zeros(len(feature)), 0.0
     m, v, mb, vb = np.zeros(len(feature)), np.zeros(len(feature)), 0.0, 0.0
     n = len(rows)
     for step in range(1, 151):
-        z = np.bincount(at, w[index] * x, minlength=n) + b
+        z = added(at, lambda s: w[index[s]] * x[s], n) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
-        gradient = np.bincount(index, error[at] * x, minlength=len(feature)) / n + 1e-3 * w
+        gradient = added(index, lambda s: error[at[s]] * x[s], len(feature)) / n + 1e-3 * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * error.mean(), 0.99 * vb + 0.01 * error.mean() ** 2
         rate = 0.03 if step < 110 else 0.005
