@@ -20,7 +20,7 @@ from pagetide.plans import corpus
 from pagetide.plans.refresh import refresh_job
 from pagetide.session import shared_dir, stage
 from pagetide.sources import files, jsonl, observations, sinks
-from pagetide.streaming import incremental
+from pagetide.streaming import incremental, keyed
 
 EVERYTHING = Scope.of(domains=("example.com", "example.net", "example.org"))
 OFF = Scope.of(respect_robots=False)
@@ -347,6 +347,23 @@ def incremental_refresh(spark, sf):
     )
 
 
+def keyed_refresh(spark, sf):
+    """Decisions on the same three deliveries with the registry as keyed state of a stream."""
+    pages = _pages(spark, sf)
+
+    def narrow(number, days):
+        raw = corpus.as_raw(corpus.variant_pages(corpus.delivered_pages(pages, number)), days)
+        records = page_records(observations.as_observations(raw), EVERYTHING, want_links=False)
+        no_hash = F.lit(None).cast("string").alias("markdown_hash")
+        return records.select("url", "seq", "observed_at", "content_hash", no_hash, "status")
+
+    deliveries = (narrow(k, days) for k, days in enumerate(corpus.LATER))
+    decided = keyed.run_deliveries(deliveries, corpus.derived_registry(pages), WEEK, f"{shared_dir(spark)}/keyed")
+    return decided.select(
+        "url", "seq", "is_fresh", "is_cached", "previous_hash", "previous_at", "previous_status", "content_status"
+    )
+
+
 def _folder(spark, name):
     return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
 
@@ -419,6 +436,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recent_pages, duplicate_content, duplicate_members, page_links, link_counts, scope_links, next_urls,
         reachable, byte_chunks, shard_pack, shard_manifest, entries_combined, entry_counts, jsonl_scan,
         jsonl_skipped, markdown_post, code_languages, markdown_corpus, page_decode, incremental_refresh,
-        records_jsonl, rejected_requests, shard_files, jsonl_combined, combined_files, chunk_files, markdown_elements,
+        records_jsonl, rejected_requests, shard_files, jsonl_combined, combined_files, chunk_files, markdown_elements, keyed_refresh,
     )
 }

@@ -1,11 +1,14 @@
 """Incremental decisions with the registry held as keyed streaming state, one value per url.
 
 The alternative to `incremental`: no registry table is read per batch. Only narrow rows enter the state; page text
-stays outside and is joined on seq.
+stays outside and is joined on seq. The observations that a micro-batch has of a url are walked in the order of seq,
+whatever Arrow batches they come in; a task holds these narrow rows of one url.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
 from datetime import timedelta
 
 import pandas as pd
@@ -42,12 +45,11 @@ class UrlProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = tuple(self.row.get()) if self.row.exists() else None
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("seq").itertuples():
-                decision, state = self.step(state, r)
-                out.append((key[0], r.seq, *decision, state[4]))
-            yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in OUTPUT.split(",")])
+        out = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            decision, state = self.step(state, r)
+            out.append((key[0], r.seq, *decision, state[4]))
+        yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in OUTPUT.split(",")])
         if state is not None:
             self.row.update(state)
 
@@ -83,6 +85,30 @@ def _native(value):
     return value.item() if hasattr(value, "item") else value
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_deliveries(deliveries: Iterable[DataFrame], registry: DataFrame | None, refresh: Refresh, folder: str) -> DataFrame:
+    """Decisions on deliveries of narrow observations, a micro-batch each, in a fresh root below `folder`."""
+    root, out = f"{folder.rstrip('/')}/{uuid.uuid4().hex}", None
+    for delivery in deliveries:
+        spark = delivery.sparkSession
+        before = spark.conf.get(PROVIDER)
+        spark.conf.set(PROVIDER, ROCKSDB)
+        try:
+            delivery.write.mode("append").parquet(f"{root}/in")
+            out = decide_stream(spark.readStream.schema(delivery.schema).parquet(f"{root}/in"), registry, refresh)
+            writer = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+            writer.trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(PROVIDER, before)
+    if out is None:
+        raise ValueError("no delivery")
+    found = spark.read.schema(out.schema).parquet(f"{root}/out")
+    return found.withColumn("previous_at", F.col("previous_at").cast("timestamp_ntz"))
+
+
 def decide_stream(observations: DataFrame, registry: DataFrame | None, refresh: Refresh) -> DataFrame:
     """Decisions per observation of a stream of url, seq, observed_at, content_hash, markdown_hash, status.
 

@@ -92,8 +92,10 @@ def test_keyed_state_equals_batch(spark, tmp_path, refresh):
     schema = "url string, seq bigint, observed_at timestamp_ntz, content_hash string, markdown_hash string, status int"
     rows = [(f"http://h/{'abc'[i % 3]}", i, T0 + timedelta(days=i), "xyz"[i // 4 % 3], None, 200) for i in range(24)]
     source = str(tmp_path / "in")
+    # many small batches out of order, as one micro-batch
+    spark.conf.set("spark.sql.execution.arrow.transformWithStateInPandas.maxRecordsPerBatch", "2")
     for part in (rows[:9], rows[9:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(source)
     old = spark.createDataFrame(OLD, REGISTRY)
     stream = decide_stream(spark.readStream.schema(schema).parquet(source), old, refresh)
     query = (
@@ -104,6 +106,7 @@ def test_keyed_state_equals_batch(spark, tmp_path, refresh):
         .start()
     )
     query.awaitTermination()
+    spark.conf.unset("spark.sql.execution.arrow.transformWithStateInPandas.maxRecordsPerBatch")
     names = ("seq", "is_fresh", "is_cached", "previous_hash", "previous_at", "previous_status", "content_status")
     got = spark.read.parquet(str(tmp_path / "out")).withColumn("previous_at", F.col("previous_at").cast("timestamp_ntz"))
     batch = decide(spark.createDataFrame(rows, schema).drop("markdown_hash"), old, refresh)
