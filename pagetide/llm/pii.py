@@ -70,6 +70,11 @@ def _check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _iban_rest(country: str, check: str, body: str) -> int:
+    """1 for a valid account number."""
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """start, end and type of the personal data of a text, without overlaps; earlier types go first."""
     out: list[tuple[int, int, str]] = []
@@ -79,6 +84,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 digits = re.sub(r"\D", "", m[0])
                 if not 13 <= len(digits) <= 19 or _check_digit(digits[:-1]) != digits[-1]:
                     continue
+            if kind == "iban" and _iban_rest(m[0][:2], m[0][2:4], m[0][4:]) != 1:
+                continue
             out.append((m.start(), m.end(), kind))
     rank = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
     taken: list[tuple[int, int, str]] = []
@@ -158,7 +165,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         head = code[0] if code else ""
         out = head + _shuffled(value[len(head):], tweak, key)
     elif kind == "iban":
-        out = value[:2] + _shuffled(value[2:], tweak, key)
+        body = _shuffled(value[4:], f"{tweak}|{value[:2]}", key)
+        out = f"{value[:2]}{98 - _iban_rest(value[:2], '00', body):02d}{body}"
     elif kind == "name":
         out = " ".join(_name_part(word, tweak, key) for word in value.split(" "))
     else:
@@ -241,13 +249,13 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(batch.column(0)[i].as_py(), k, text[s:e]) for i, text, spans in _candidates(batch.column(1)) for s, e, k in spans]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["h", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["_text", "kind", "value"])
 
-        of_text = docs.select(F.sha2("text", 256).alias("h"), "text").mapInArrow(spread, "h string, kind string, value string").distinct()
-        maps = of_text.join(odd, ["kind", "value"]).groupBy("h").agg(
+        of_text = docs.select(F.sha2("text", 256).alias("h"), "text").mapInArrow(spread, "_text string, kind string, value string").distinct()
+        maps = of_text.join(odd, ["kind", "value"]).groupBy("_text").agg(
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias(attempts)
         )
-        given = docs.join(maps, F.sha2("text", 256) == F.col("h"), "left").drop("h")
+        given = docs.join(maps, F.sha2("text", 256) == F.col("_text"), "left").drop("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.few_rows(batches):

@@ -467,3 +467,16 @@ def test_unpacked_runs():
     counts = np.arange(5000) % 400 + 1
     again, n = lm._unpack(lm._pack(keys, counts))
     assert (again == keys).all() and (n == counts).all()
+
+
+def test_account_numbers_stay_valid():
+    """Only numbers with right check digits are found, and their surrogates have such digits too."""
+    valid = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    for v in valid:
+        assert [(s, e, k) for s, e, k in pii.find(f"pay {v}.")] == [(4, 4 + len(v), "iban")]
+        made = {pii.surrogate("iban", v, attempt) for attempt in range(3)}
+        assert len(made) == 3 and v not in made
+        for x in made:
+            assert len(x) == len(v) and x[:2] == v[:2] and [k for *_, k in pii.find(x)] == ["iban"]
+            assert [c.isdigit() for c in x[4:]] == [c.isdigit() for c in v[4:]]
+    assert pii.find("pay DE88370400440532013000 now") == []
