@@ -39,22 +39,39 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), short_replaced=True)
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its own columns of these names renamed to own_..., and the new names by the old ones."""
+    new = {}
+    for name in set(names) & set(docs.columns):
+        own = f"own_{name}"
+        while own in docs.columns:
+            own += "_"
+        new[name] = own
+    return docs.withColumnsRenamed(new), new
+
+
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the new text."""
     wide_rows(spark)
-    replaced = pii.replace(docs)
+    given, own = aside(docs, "n_replaced")
+    replaced = pii.replace(given)
     if "n_chars" in docs.columns:
         new = F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         replaced = replaced.withColumn("n_chars", new.otherwise(F.col("n_chars")))
-    return replaced.select(*docs.columns)
+    return replaced.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids; round_trip says that the ids decode to the text again."""
+    """All documents with their token ids; round_trip says that the ids decode to the text again.
+
+    A column of the documents that is named like one that is added here is returned as own_ and its name.
+    """
     wide_rows(spark)
     known = pieces.load()
-    decoded = pieces.decode(pieces.encode(docs, known), known)
-    return decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    given, own = aside(docs, "ids", "n_ids", "chunks", "round_trip", "uid", "decoded")
+    decoded = pieces.decode(pieces.encode(given, known), known)
+    out = decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    return out.withColumnsRenamed({own[c]: c for c in ("uid", "decoded") if c in own})
 
 
 STAGES = [
