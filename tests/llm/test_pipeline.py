@@ -20,3 +20,23 @@ def test_pipeline(spark):
             assert not any(v in r["text"] for r in docs.collect() for v in clear)
     assert not docs.filter("NOT round_trip").count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_own_columns_with_clashing_names(spark):
+    """Columns that are named like those inside the stages come out as they were; also for a text of several chunks."""
+    extra = ("uid", "n_replaced", "decoded", "h", "k", "node", "component_id", "ids", "n_ids", "chunks", "round_trip")
+    texts = ["Mail a.b@example.org now. " * 3, "word " * 12_000, None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    known = lambda df, names: {r["doc_id"]: tuple(r[n] for n in names) for r in df.collect()}
+    own = {i: tuple(f"{c}{i}" for c in extra) for i in range(4)}
+    one = corpus_pipeline.near_dedup(spark, docs, "")
+    assert one.columns == docs.columns and set(known(one, extra).items()) <= set(own.items())
+    clear = corpus_pipeline.surrogates(spark, docs, "")
+    assert clear.columns == docs.columns and known(clear, extra) == own
+    assert "a.b@" not in known(clear, ["text"])[0][0]
+    coded = corpus_pipeline.token_ids(spark, docs, "")
+    names = [f"own_{c}" if c in ("ids", "n_ids", "chunks", "round_trip") else c for c in extra]
+    assert known(coded, names) == own
+    assert known(coded, ["round_trip"]) == {i: (True,) for i in range(4)} and known(coded, ["chunks"])[1][0] > 1
