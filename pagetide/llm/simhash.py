@@ -93,7 +93,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
             fp = pa.array(all_[:, 0].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp, sketch.cast(pa.binary())], ["doc_id", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, sketch binary")
 
 
 # ---- the join inside one pair of nodes

@@ -121,6 +121,14 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [*((False, i) for i in range(40)), (True, 0)]
 
 
+def test_near_duplicates_with_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two three four five six"), ("z", "quite another text than that is"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    same = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(df).collect()}
+    assert same == {"a": "a", "b": "a", "z": "z", None: None}
+    assert sorted((r["doc_id"] or "") for r in simhash.one_of_each(df).collect()) == ["", "a", "z"]
+
+
 def shingle_set(text):
     w = words(lower(text))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
