@@ -17,6 +17,7 @@ SHARE = 1_000  # a key is hot when it holds more than 1/SHARE of the rows, so th
 TRACKED = 10_000  # counters of the sketch; it misses no key above about 2/TRACKED of the rows
 SALTS = 256  # pieces one hot key is cut into
 SMALLEST = 100_000  # below this many rows for a key one task copes
+SKETCHES = 256  # groups whose sketches are merged before the last task merges one sketch of each
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,22 @@ class Hot:
 
 
 def hot_keys(df: DataFrame, key: str | Column, smallest: int | None = None) -> Hot:
-    """Keys that hold more than 1/SHARE of the rows and more than `smallest` rows (SMALLEST if not given)."""
+    """Keys that hold more than 1/SHARE of the rows and more than `smallest` rows (SMALLEST if not given).
+
+    Each task of the input makes one sketch. They are merged in two levels, so that with n tasks no task merges more
+    than max(SKETCHES, n / SKETCHES) of them.
+    """
     col = F.col(key) if isinstance(key, str) else key
-    row = (
+    groups = (
         df.select(col.alias("k"))
         .filter("k IS NOT NULL")
-        .agg(F.expr(f"approx_top_k(k, {SHARE}, {TRACKED})").alias("top"), F.count("*").alias("n"))
-        .first()
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("g"))
+        .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED})").alias("sketch"), F.count("*").alias("n"))
     )
+    merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {SHARE})")
+    row = groups.agg(merged.alias("top"), F.sum("n").alias("n")).first()
+    if row["n"] is None:
+        return Hot()
     floor = max(SMALLEST if smallest is None else smallest, row["n"] // SHARE)
     return Hot(tuple(sorted(t["item"] for t in row["top"] or [] if t["count"] > floor)))
 
