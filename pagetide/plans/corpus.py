@@ -88,6 +88,25 @@ def as_raw(pages: DataFrame, later: int = 0) -> DataFrame:
     )
 
 
+def as_bytes(pages: DataFrame) -> DataFrame:
+    """as_raw with bodies as bytes in several charsets, named by the header, a mark, a tag, or nothing at all."""
+    tag = F.lit('<meta charset="utf-8">')
+    equiv = F.lit('<meta http-equiv="Content-Type" content="text/html; charset=windows-1252">')
+    bare = F.replace("html", tag, F.lit(""))
+    n = F.col("page_id") % 7
+    body = (
+        F.when(n == 0, F.encode("html", "UTF-16LE"))
+        .when(n == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE")))
+        .when(n == 2, F.encode(F.replace("html", tag, equiv), "ISO-8859-1"))
+        .when(n == 3, F.encode(bare, "UTF-8"))
+        .when(n == 4, F.encode(bare, "UTF-16LE"))
+        .when(n == 5, F.encode(bare, "ISO-8859-1"))
+        .otherwise(F.encode(bare, "UTF-16BE"))
+    )
+    kind = F.when(n == 0, "text/html; charset=UTF-16LE").otherwise("text/html")
+    return as_raw(pages.select("page_id", "url", body.alias("html"), kind.alias("content_type")))
+
+
 def article_hash(pages: DataFrame):
     """Fingerprint of the cleaned article element of an unchanged corpus page."""
     return fingerprint(clean_html(F.regexp_extract("html", r"(?s)<article>.*?</article>", 0)))

@@ -143,6 +143,13 @@ def refresh_records_markdown(spark, sf):
     )
 
 
+def refresh_bytes(spark, sf):
+    """Records of pages that arrive as bytes in several charsets."""
+    pages = _pages(spark, sf)
+    job = refresh_job(corpus.as_bytes(pages), corpus.derived_registry(pages), OFF, WEEK, frontier=False)
+    return job.records.select("url", "title", "content", "content_hash", "content_status", "length")
+
+
 def registry_after_markdown(spark, sf):
     return _refresh_with_markdown(spark, sf).registry
 
@@ -435,7 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         registry_after_refresh, registry_upsert, registry_history, registry_after_visits, registry_fold, crawl_stats, crawl_stats_by_site,
         recent_pages, duplicate_content, duplicate_members, page_links, link_counts, scope_links, next_urls,
         reachable, byte_chunks, shard_pack, shard_manifest, entries_combined, entry_counts, jsonl_scan,
-        jsonl_skipped, markdown_post, code_languages, markdown_corpus, page_decode, incremental_refresh,
+        jsonl_skipped, markdown_post, code_languages, markdown_corpus, page_decode, refresh_bytes, incremental_refresh,
         records_jsonl, rejected_requests, shard_files, jsonl_combined, combined_files, chunk_files, markdown_elements, keyed_refresh,
     )
 }

@@ -14,7 +14,7 @@ from pagetide.operators.parse import page_records
 from pagetide.operators.registry import decide, upsert_visits
 from pagetide.operators.skew import hot_keys, spread_join
 from pagetide.session import stage
-from pagetide.sources.observations import as_observations, split_rejects
+from pagetide.sources.observations import as_observations, split_rejects, with_text_bodies
 
 RECORD = (
     "url", "title", "meta_description", "content", "content_hash", "crawled_at", "status", "length", "robots_meta",
@@ -88,13 +88,13 @@ def refresh_job(
     """One batch of observations against the registry.
 
     The parsed pages are written once to the shared folder; decisions are made on their narrow columns only. Pages
-    without url or body go to `rejects`. `as_of` is the time at which the frontier is planned. With `changes_only` the
+    without url or body go to `rejects`. Bodies are text, or bytes of any charset. `as_of` is the time at which the frontier is planned. With `changes_only` the
     new registry has just the rows of urls that were taken over, and `registry` need hold the urls of the batch only.
     """
     if changes_only and frontier:
         raise ValueError("the frontier needs the whole registry")
     usable, rejects = split_rejects(raw)
-    pages = stage(page_records(as_observations(usable), scope, extract, frontier), "pages")
+    pages = stage(page_records(as_observations(with_text_bodies(usable)), scope, extract, frontier), "pages")
     narrow = pages.select("url", "seq", "observed_at", "content_hash", "status")
     hot = hot_keys(narrow, "url")
     decisions = stage(decide(narrow, registry, refresh, hot), "decisions")

@@ -1,3 +1,4 @@
+import codecs
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pagetide.config import Extract, Markdown, Scope
 from pagetide.functions.markdown_rules import mark_code_languages, tidy_markdown
 from pagetide.operators.markdown import add_markdown, markdown_of
 from pagetide.operators.parse import page_records, read_page
-from pagetide.sources.observations import OBSERVATION, as_observations, charset, decode_body, split_rejects
+from pagetide.sources.observations import OBSERVATION, as_observations, charset, decode_body, split_rejects, with_text_bodies
 
 NOW = datetime(2024, 1, 31)
 ALL = "<html><body>{}</body></html>"
@@ -197,3 +198,32 @@ def test_broken_markup_never_fails(junk):
     for html in (junk, f"<body>{junk}</body>", f"x{junk}y"):
         read_page(html, "http://h/", "auto")
         to_markdown(html, "http://h/", Markdown())
+
+
+def test_bodies_as_bytes(spark):
+    """Mark, header, tag, statistics, in this order; empty, null and broken bytes; text tables stay as they are."""
+    kana = "<p>これはテストのページです。カタカナもある</p>"
+    rows = [
+        (1, "text/html; charset=utf-8", "\ufeff<p>é</p>".encode("utf-16le"), "<p>é</p>"),
+        (2, "text/html; charset=utf-16be", "<p>é</p>".encode("utf-16be"), "<p>é</p>"),
+        (3, "text/html", ("<meta charset='koi8-r'>" + "да").encode("koi8-r"), "<meta charset='koi8-r'>да"),
+        (4, None, kana.encode("euc_jp"), kana),
+        (5, None, kana.encode("cp932"), kana),
+        (6, None, kana.encode("iso-2022-jp"), kana),
+        (7, None, kana.encode(), kana),
+        (8, None, "<p>ça “va”</p>".encode("cp1252"), "<p>ça “va”</p>"),
+        (9, None, "<p>é and more</p>".encode("utf-16be"), "<p>é and more</p>"),
+        (10, "text/html; charset=utf-8", b"a\xffb", "a\ufffdb"),
+        (11, "text/html; charset=nonsense", "é".encode(), "é"),
+        (12, None, b"", ""),
+        (13, None, None, None),
+        (14, None, codecs.BOM_UTF8 + "é".encode(), "é"),
+        (15, "application/json", '{"a": "é"}'.encode("cp1252"), '{"a": "é"}'),
+    ]
+    schema = "seq long, url string, content_type string, body binary"
+    given = spark.createDataFrame([(i, f"http://e.com/{i}", kind, raw) for i, kind, raw, _ in rows], schema)
+    got = {r["seq"]: r["body"] for r in with_text_bodies(given).collect()}
+    assert got == {i: text for i, _, _, text in rows}
+    text = given.withColumn("body", given["content_type"])
+    assert with_text_bodies(text) is text
+    assert with_text_bodies(given.limit(0)).collect() == []
