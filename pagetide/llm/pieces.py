@@ -36,6 +36,7 @@ from pagetide.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384  # characters; texts of twice as many or more are cut
+CUT = 64  # chunks in a batch, and at least in a task
 BLOCK = 256  # chunks whose matrices are combined in one step
 REMEMBERED = 150_000  # words of each of two generations that a worker keeps
 MARK, OWN = "▁", "▁"  # a blank; OWN[0] never reaches the lattice
@@ -331,15 +332,25 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     whole = docs.filter(~giant).mapInArrow(small, schema)
     long_docs = stage(docs.filter(giant).withColumn("uid", F.monotonically_increasing_id()), "giant")
 
-    # text of each chunk with what pieces that begin in it may reach; a character of the chunk before tells word begins
-    marked = F.concat(F.lit(" "), F.col("text"))
-    n = F.floor(F.length(marked) / chunk)
-    chunks = long_docs.select("uid", marked.alias("m"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk")).select(
-        "uid", "n", "chunk",
-        F.floor(F.col("chunk") * F.length("m") / F.col("n")).cast("int").alias("a"),
-        F.floor((F.col("chunk") + 1) * F.length("m") / F.col("n")).cast("int").alias("b"), "m",
-    ).select("uid", "n", "chunk", (F.col("b") - F.col("a")).alias("size"),
-             F.substring("m", F.col("a") + 1, F.col("b") - F.col("a") + pieces.longest).alias("part"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text of each chunk with what pieces that begin in it may reach; a character before tells word begins."""
+        for batch in shared.few_rows(batches, 1):
+            uid, text = batch.column(0)[0], f" {batch.column(1)[0].as_py()}"
+            n = len(text) // chunk
+            at = [i * len(text) // n for i in range(n + 1)]
+            for lo in range(0, n, CUT):
+                some = range(lo, min(lo + CUT, n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uid.as_py()] * len(some), pa.int64()), pa.array([n] * len(some), pa.int64()), pa.array(some, pa.int64()),
+                     pa.array([at[i + 1] - at[i] for i in some], pa.int32()), pa.array([text[at[i] : at[i + 1] + pieces.longest] for i in some])],
+                    ["uid", "n", "chunk", "size", "part"],
+                )
+
+    # one walk over each text; the chunks of a document are then spread over tasks
+    total = long_docs.agg(F.sum(F.floor((F.length("text") + 1) / chunk))).first()[0] or 0
+    tasks_wide = max(min(total // CUT, 2_000), total // 4_096) + 1
+    cut_texts = long_docs.select("uid", "text").mapInArrow(cut, "uid long, n long, chunk long, size int, part string")
+    chunks = stage(cut_texts.repartition(tasks_wide, "uid", "chunk"), "parts")
 
     def opened(text: str) -> tuple[str, set[int]]:
         own = {m.start() for m in re.finditer(MARK, text)} if MARK in text else set()
