@@ -131,7 +131,11 @@ class Model:
     def _array(self, name: str) -> np.ndarray:
         files = self.__dict__.setdefault("_open", {})
         if name not in files:
-            files[name] = np.load(os.path.join(self.folder, f"{name}.npy"), mmap_mode="r")
+            path = os.path.join(self.folder, f"{name}.npy")
+            try:
+                files[name] = np.load(path, mmap_mode="r")
+            except ValueError:  # an empty array cannot be mapped
+                files[name] = np.load(path)
         return files[name]
 
     def count(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -139,9 +143,9 @@ class Model:
         out = np.zeros(len(first), np.int64)
         keys = (first.astype(U) << U(32)) | second.astype(U)
         for p, at in arrays.by_piece(piece_of_pairs(first, second, self.pieces, self.hot), self.pieces):
-            if not os.path.exists(os.path.join(self.folder, f"pairs-{p}.npy")):
-                continue
             have, n = self._array(f"pairs-{p}"), self._array(f"counts-{p}")
+            if not len(have):
+                continue
             own = keys if at is None else keys[at]
             i = np.minimum(np.searchsorted(have, own), len(have) - 1)
             got = np.where(have[i] == own, n[i], 0)
@@ -232,7 +236,9 @@ def fit(training: DataFrame) -> Model | None:
         keys, counts = _merged(group)
         p = key[0].as_py()
         shared.write_array(os.path.join(folder, f"pairs-{p}.npy"), keys)
-        shared.write_array(os.path.join(folder, f"counts-{p}.npy"), counts.astype(np.int32 if counts.max() < 2**31 else np.int64))
+        shared.write_array(os.path.join(folder, f"counts-{p}.npy"), counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64))
+        if not len(keys):
+            return pa.table({"piece": pa.array([], pa.int64()), "run": pa.array([], pa.binary())})
         out = []
         # kinds 0 to 3: by first word; 4: by second word; the id is the upper half of a packed key
         first, at = np.unique(keys >> U(32), return_inverse=True)
@@ -259,7 +265,10 @@ def fit(training: DataFrame) -> Model | None:
             stats[5 + int(k) - size - 1] = int(n)
         return pa.table({"stats": pa.array([stats], pa.list_(pa.int64()))})
 
-    by_word = texts.mapInArrow(pairs, "piece long, run binary").groupBy("piece").applyInArrow(merge_pairs, "piece long, run binary")
+    # every piece is written, also one without bigrams, so a file that is not there when it is read is an error
+    no_bigrams = spark.range(pieces).select(F.col("id").alias("piece"), F.lit(_pack(np.zeros(0, U), np.zeros(0, np.int64))).alias("run"))
+    runs = texts.mapInArrow(pairs, "piece long, run binary").unionByName(no_bigrams)
+    by_word = runs.groupBy("piece").applyInArrow(merge_pairs, "piece long, run binary")
     stats = np.sum([r[0] for r in by_word.groupBy("piece").applyInArrow(merge_words, "stats array<long>").collect()], axis=0)
     n1, n2, n3, n4, more, kinds, b1, b2, b3, b4 = (int(x) for x in stats)
     return Model(vocabulary, tokens, folder, pieces, hot, _discounts([b1, b2, b3, b4]), _discounts([n1, n2, n3, n4]), kinds, (n1, n2, more))
