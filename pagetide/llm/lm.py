@@ -31,6 +31,7 @@ U = np.uint64
 END = U(0xE4D0F7E870F7EA57)  # the hash of the end token
 HELD = 6_000_000  # tokens whose counts a task holds before it sends them on
 SALTS = 64  # pieces for a first word with a large share of the tokens
+PER_PIECE = 2_500_000  # tokens, about, in a piece of the bigrams
 SPAN = 1_000_000  # ids in a piece of the tables by word
 
 
@@ -205,7 +206,7 @@ def fit(training: DataFrame) -> Model | None:
     begin = size  # the id of the start of a text
 
     # tokens of each piece, and the words with a large share of them
-    pieces = max(1, rough // 2_500_000)
+    pieces = max(1, rough // PER_PIECE)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

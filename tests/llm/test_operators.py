@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, empty and repeated rows and odd columns."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -424,9 +425,10 @@ def test_quality(spark, rows):
 
 # ---- language model
 
-def test_lm(spark, rows, monkeypatch):
+def test_lm(spark, rows, monkeypatch, tmp_path):
     monkeypatch.setattr(lm.arrays, "PER_PIECE", 10)
     monkeypatch.setattr(lm, "SPAN", 7)
+    monkeypatch.setattr(lm, "PER_PIECE", 20)  # many pieces, some of them empty
     train, test = rows[:50], rows[50:]
     model = lm.fit(table(spark, train))
     tokens = lambda t: [*words(lower(t)), "</s>"]
@@ -468,6 +470,11 @@ def test_lm(spark, rows, monkeypatch):
     assert sum(10 ** (base[i] - (end if w else 0)) for i, w in single) == pytest.approx(1)
     assert lm.fit(table(spark, train).filter("false")) is None
     assert lm.score(table(spark, test), None, "doc_id").agg({"score": "sum"}).first()[0] == 0
+    assert model.pieces > 1 and any(not len(model._array(f"pairs-{p}")) for p in range(model.pieces))
+    # a piece that is out of sight is an error, not a text without known bigrams
+    lost = dataclasses.replace(model, folder=str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        lost.count(np.array([0]), np.array([0]))
 
 
 def test_unpacked_runs():
