@@ -46,8 +46,9 @@ def hot_keys(df: DataFrame, key: str | Column, smallest: int | None = None) -> H
         .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED})").alias("sketch"), F.count("*").alias("n"))
     )
     merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {SHARE})")
-    row = groups.agg(merged.alias("top"), F.sum("n").alias("n")).first()
-    if row["n"] is None:
+    # grouped by a constant: sketches of no rows at all cannot be combined
+    row = groups.groupBy(F.lit("all")).agg(merged.alias("top"), F.sum("n").alias("n")).first()
+    if row is None:
         return Hot()
     floor = max(SMALLEST if smallest is None else smallest, row["n"] // SHARE)
     return Hot(tuple(sorted(t["item"] for t in row["top"] or [] if t["count"] > floor)))

@@ -117,6 +117,7 @@ def test_keyed_order_splits_keys(spark, hot_mode):
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(5)
     hot = hot_keys(df, "k")
     assert (hot.keys == ("hot",)) == (hot_mode == "split")
+    assert hot_keys(df.filter("false"), "k").keys == hot_keys(df.withColumn("k", F.lit(None).cast("string")), "k").keys == ()
     got = (
         KeyedOrder(df, "k", "o", hot)
         .before(F.col("v"), "b", when=F.col("v") > 3)
