@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagetide.config import Refresh, Scope
@@ -97,9 +97,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
     spark = edges.sparkSession
     folder = f"{shared_dir(spark)}/stage/reach-{uuid.uuid4().hex}"
 
-    def keep(urls: DataFrame, hop: int) -> DataFrame:
-        urls.select("url").write.parquet(f"{folder}/hop={hop}")
-        return spark.read.schema("url STRING").parquet(f"{folder}/hop={hop}")
+    def keep(urls: DataFrame, hop: int) -> tuple[DataFrame, int]:
+        """The urls of a hop as a table, and how many they are, counted while they are written."""
+        rows = Observation()
+        urls.select("url").observe(rows, F.count("*").alias("n")).write.parquet(f"{folder}/hop={hop}")
+        return spark.read.schema("url STRING").parquet(f"{folder}/hop={hop}"), rows.get["n"]
 
     hot = hot_keys(edges, "src")
     source, salt = F.col("src"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")
@@ -107,12 +109,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, p
     keys = ["src", "_piece"] if hot.keys else ["src"]
     placed = edges.select("src", "dst", F.when(hot.has(source), salt).otherwise(F.lit(0)).alias("_piece"))
     placed = keep_partitioned(placed.select("dst", *keys).repartition(n, *keys))
-    front, hop = keep(seeds.select("url").distinct(), 0), 0
-    while not front.isEmpty() and (max_hops is None or hop < max_hops):
+    (front, size), hop = keep(seeds.select("url").distinct(), 0), 0
+    while size and (max_hops is None or hop < max_hops):
         hop += 1
         url = F.col("url")
         pieces = F.when(hot.has(url), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         starts = front.select(url.alias("src"), F.explode(pieces).alias("_piece"))
         found = placed.join(starts, keys).select(F.col("dst").alias("url")).distinct()
-        front = keep(found.join(spark.read.schema("url STRING, hop INT").parquet(folder), "url", "left_anti"), hop)
+        front, size = keep(found.join(spark.read.schema("url STRING, hop INT").parquet(folder), "url", "left_anti"), hop)
     return spark.read.schema("url STRING, hop INT").parquet(folder)

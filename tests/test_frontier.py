@@ -62,3 +62,6 @@ def test_reachable_equals_breadth_first_search(spark, hot_mode):
     got = {r["url"]: r["hop"] for r in frontier.reachable(frame, seeds).collect()}
     assert got == hops
     assert {r["url"] for r in frontier.reachable(frame, seeds, max_hops=1).collect()} == {u for u, h in hops.items() if h <= 1}
+    assert frontier.reachable(frame, spark.createDataFrame([], seeds.schema)).collect() == []
+    assert frontier.reachable(frame, seeds.filter("false")).collect() == []
+    assert {r["url"] for r in frontier.reachable(frame.filter("false"), seeds).collect()} == {"n0", "n7"}
