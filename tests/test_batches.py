@@ -2,9 +2,13 @@
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetide.functions.batches import ROWS, SIZE, slices
 from pagetide.operators import markdown
+from pagetide.operators.parse import parse_pages
+
+PAGE = "<title>t{0}</title><body><main><p>{0}</p></main><a href='/{0}'>x</a>"
 
 
 def test_slices_hold_all_rows_in_order():
@@ -14,6 +18,28 @@ def test_slices_hold_all_rows_in_order():
     assert list(slices(text.slice(0, 0))) == []
 
 
+class _Observations:
+    """Stands for a frame whose step in Python is called here."""
+
+    columns = ["seq", "page_url", "is_json", "body"]
+    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("page_url", T.StringType()), T.StructField("is_json", T.BooleanType()), T.StructField("body", T.StringType())])
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_large_batch_of_pages_is_parsed_in_slices():
+    n = 4 * ROWS + 1
+    rows = [pa.array(range(n)), pa.array(["http://h/"] * n), pa.array([k == 7 for k in range(n)]), pa.array([PAGE.format(k) for k in range(n)])]
+    batch = pa.RecordBatch.from_arrays(rows, _Observations.columns)
+    out = list(parse_pages(_Observations())(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) == ROWS
+    found = pa.Table.from_batches(out).to_pydict()
+    assert found["seq"] == list(range(n))
+    assert found["title"] == ["" if k == 7 else f"t{k}" for k in range(n)]
+    assert [x and x[0]["url"] for x in found["links"]] == [[] if k == 7 else f"http://h/{k}" for k in range(n)]
+
+
 def test_a_large_batch_becomes_markdown_in_slices(spark, monkeypatch):
     steps = []
     monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: steps.append(f) or (lambda *columns: F.lit("")))
