@@ -24,6 +24,8 @@ from pagetide.session import stage
 
 WAITING = ".waiting-"  # begins the name of a folder with files that are not whole yet
 SPLIT = 128 << 20  # bytes that a task reads, about
+OPENING = 256 << 10  # bytes that could be read while a file is opened, about
+HELD, ROWS = 1 << 20, 1000  # bytes and chunks of a batch, about
 
 
 def mounted(path: str) -> str:
@@ -121,7 +123,7 @@ def write_named(rows: DataFrame, path: str) -> None:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes of a file; a begin that is a multiple of the chunk size."""
 
     file: str
@@ -129,12 +131,19 @@ class Range(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: a range of a large file, or many small files."""
+
+    ranges: list[Range]
+
+
 class _ChunkReader(DataSourceReader):
-    def __init__(self, root: str, size: int, split: int):
-        self.root, self.size = root, size
+    def __init__(self, root: str, size: int, split: int, tasks: int):
+        self.root, self.size, self.tasks = root, size, tasks
         self.step = max(1, split // size) * size
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for folder, folders, files in os.walk(self.root):
             folders[:] = sorted(f for f in folders if not f.startswith((".", "_")))
@@ -142,18 +151,43 @@ class _ChunkReader(DataSourceReader):
                 path = os.path.join(folder, file)
                 size = os.path.getsize(path)
                 out += [Range(os.path.relpath(path, self.root), a, min(a + self.step, size)) for a in range(0, size, self.step)]
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
-        with open(os.path.join(self.root, partition.file), "rb") as data:
-            data.seek(partition.start)
-            for at in range(partition.start, partition.stop, self.size):
-                piece = data.read(min(self.size, partition.stop - at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.file]), pa.array([at // self.size + 1]), pa.array([piece], pa.binary())], ["file", "part", "bytes"]
-                )
+        return self._dealt(out)
+
+    def _dealt(self, ranges: list[Range]) -> list[Ranges]:
+        """The ranges in tasks of about `step` bytes, or of less if there are few bytes for the tasks at a time."""
+        work = [r.stop - r.start + OPENING for r in ranges]
+        most, held = min(self.step + OPENING, sum(work) // self.tasks), 0
+        out = [Ranges([])]
+        for r, n in zip(ranges, work, strict=True):
+            if out[-1].ranges and held + n > most:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append(r)
+            held += n
+        return out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for name, part, piece in self._pieces(partition.ranges):
+            rows.append((name, part, piece))
+            held += len(piece)
+            if held >= HELD or len(rows) == ROWS:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _pieces(self, ranges: list[Range]) -> Iterator[tuple[str, int, bytes]]:
+        for r in ranges:
+            with open(os.path.join(self.root, r.file), "rb") as data:
+                data.seek(r.start)
+                for at in range(r.start, r.stop, self.size):
+                    yield r.file, at // self.size + 1, data.read(min(self.size, r.stop - at))
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds, strict=True)], ["file", "part", "bytes"])
 
 
 class FileChunks(DataSource):
@@ -167,16 +201,18 @@ class FileChunks(DataSource):
         return "file string, part bigint, bytes binary"
 
     def reader(self, schema):
-        return _ChunkReader(mounted(self.options["path"]), int(self.options["size"]), int(self.options["split"]))
+        return _ChunkReader(mounted(self.options["path"]), *(int(self.options[x]) for x in ("size", "split", "tasks")))
 
 
 def read_chunks(spark: SparkSession, path: str, chunk: Chunk = Chunk(), split: int = SPLIT) -> DataFrame:
     """The files below a folder in chunks: file, part (from 1), name, bytes. Empty files have none.
 
-    A task reads a range of a file, whole chunks of about `split` bytes, so files of any size are cut in parallel.
+    A task reads a range of a file, whole chunks of about `split` bytes, or many small files, so files of any size are
+    read in parallel and by no more tasks than their bytes need.
     """
     spark.dataSource.register(FileChunks)
-    rows = spark.read.format("file_chunks").options(size=chunk.bytes, split=split).load(path)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    rows = spark.read.format("file_chunks").options(size=chunk.bytes, split=split, tasks=tasks).load(path)
     name = F.format_string(f"{chunk.prefix.replace('%', '%%')}%03d.md", F.col("part"))
     return rows.select("file", F.col("part").cast("int").alias("part"), name.alias("name"), "bytes")
 

@@ -97,3 +97,13 @@ def test_entries_in_line_order(spark, tmp_path):
     good, skipped = read_entries(files.read_lines(spark, str(tmp_path)).drop("file", "line"))
     assert [(r["seq"], r["markdown_content"]) for r in good.orderBy("seq").collect()] == [(1, "1"), (3, "2")]
     assert [(r["seq"], r["reason"]) for r in skipped.collect()] == [(2, "invalid json")]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    data = {f"f{k:03d}": bytes([k % 256]) * (k % 40) for k in range(600)} | {"large": bytes(range(250)) * 4_000}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    read = files.read_chunks(spark, str(tmp_path), Chunk(bytes=16))
+    assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 4
+    found = {(r["file"], r["part"]): bytes(r["bytes"]) for r in read.collect()}
+    assert found == {(n, at // 16 + 1): raw[at : at + 16] for n, raw in data.items() for at in range(0, len(raw), 16)}
