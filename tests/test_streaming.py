@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from pagetide.config import Markdown, Refresh, Scope
 from pagetide.operators.registry import decide
@@ -112,3 +112,34 @@ def test_keyed_state_equals_batch(spark, tmp_path, refresh):
     batch = decide(spark.createDataFrame(rows, schema).drop("markdown_hash"), old, refresh)
     order = lambda df: sorted(map(tuple, df.select(*names).collect()), key=repr)
     assert order(got) == order(batch)
+
+
+class _State:
+    """Stands for the state of one url and notes what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_keyed_state_is_asked_once_for_a_url_and_batch():
+    from pagetide.streaming.keyed import UrlProcessor
+
+    day = 86_400_000_000
+    processor = UrlProcessor(Refresh("auto", 5))
+    processor.row = _State()
+    seen = lambda seq, days, text: Row(url="u", seq=seq, observed_at=days * day, content_hash=text, markdown_hash=None, status=200)
+    rows = [seen(3, 5, "b"), seen(1, 0, "a"), seen(2, 4, "b")]
+    out = list(processor.handleInputRows(("u",), iter(rows), None))
+    assert [(r.seq, r.is_fresh, r.previous_at, r.content_status, r.change_count) for r in out] == [
+        (1, True, None, "new", 0), (2, False, 0, "updated", 0), (3, True, 0, "updated", 1),
+    ]
+    assert processor.row.calls == ["get", "update"]
+    assert processor.row.value == ("b", None, 0, 5 * day, 1, 200)
