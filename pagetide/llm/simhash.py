@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.llm import shared
@@ -288,7 +288,12 @@ TURNS = (1, 8)  # how many of every bucket each set meets in a turn, before all
 FREQUENT = 50_000  # frequent shingles that are put last, at most
 CHECKED = 400_000  # shingles of texts that are compared in one group of a task, about
 BAND = 1.05  # sizes of sets that differ by less may be in one band
+CROWDED = 32  # sets of a bucket from which on parities come to it, so that no row is written for pairs that these tell apart
+WIDE = 1.25  # the band there, as rows with parities are not repeated often
+SHORT = 64  # words of such a parity, at most
 OVERLAP = "9 * both >= 4 * (na + nb)"  # sets of na and nb with `both` in common: both / (na + nb - both) >= 0.8
+# the same, of members in one set only: at least as many as the parities of two sets differ in bits
+DIFFER = "5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * differ <= na + nb"
 
 
 def _members(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -303,6 +308,26 @@ def _members(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.nd
         yield h[new], np.bincount(row[new], minlength=len(count))
 
 
+def _parities(h: np.ndarray, n: np.ndarray, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set (n members of h): 64 times a power of two bits, at least 2 n, and the number of 64-bit words of each set.
+
+    `most` is a power of two that the number of words does not exceed.
+    Bit i is 1 if an odd number of members have i as their low bits. Halves of a parity, by XOR, are the one of half its size.
+    """
+    words = np.minimum(np.left_shift(1, np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)), most)
+    begin = np.concatenate(([0], np.cumsum(words)))
+    place = np.repeat(64 * begin[:-1], n) + (h & np.repeat(64 * words - 1, n).astype(U)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * int(begin[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U), words
+
+
+def _differ(x: str, y: str) -> Column:
+    """How many bits of two columns of parities differ; the longer one is halved if it is twice as long."""
+    half = lambda c: f"zip_with(slice({c}, 1, size({c}) div 2), slice({c}, size({c}) div 2 + 1, size({c}) div 2), (p, q) -> p ^ q)"
+    of = lambda c, d: f"CASE WHEN size({c}) > size({d}) THEN {half(c)} ELSE {c} END"
+    return F.expr(f"aggregate(zip_with({of(x, y)}, {of(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+
+
 def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of frequent shingles, the rarest of them first. Which ones these are changes the work, not the result."""
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about
@@ -319,7 +344,7 @@ def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, k (the row key), node (a hash of the set of distinct shingles), fp (its SimHash), n and prefix.
+    """doc_id, k (the row key), node (a hash of the set of distinct shingles), fp (its SimHash), n, prefix, parity and short (a parity too).
 
     The prefix has the first n - 0.8 n + 1 members, in an order of all shingles with the frequent ones last. Two sets that are
     0.8 similar have one of these in common, whatever the order is.
@@ -329,13 +354,15 @@ def shingle_sets(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes, lengths, sizes, nodes, prints = [], [], [], [], []
+            prefixes, lengths, sizes, nodes, prints, full, short = [], [], [], [], [], [], []
             for h, n in _members(shared.text_column(batch), shingle):
                 ends = np.cumsum(n).tolist()
                 raw = memoryview(h.tobytes())
                 nodes.append(np.array([xxhash.xxh64_intdigest(raw[8 * s : 8 * e], 42) for s, e in zip([0, *ends], ends)], U))
                 prints.append(_majority(h, n, 1)[:, 0])
                 sizes.append(n)
+                full.append(_parities(h, n))
+                short.append(_parities(h, n, SHORT))
                 row = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
@@ -347,17 +374,20 @@ def shingle_sets(docs: DataFrame, shingle: int, frequent: np.ndarray) -> DataFra
                 prefixes.append(h[order[nth < length[row]]])
                 lengths.append(length)
             flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            starts = np.concatenate(([0], np.cumsum(flat(lengths, np.int64)))).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat(prefixes, U).view(np.int64)))
+            starts = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(flat(sizes, np.int64)))).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(starts(lengths), pa.array(flat(prefixes, U).view(np.int64)))
+            parities = [
+                pa.ListArray.from_arrays(starts([w for _, w in x]), pa.array(flat([p for p, _ in x], U).view(np.int64))) for x in (full, short)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(flat(nodes, U).view(np.int64)), pa.array(flat(prints, U).view(np.int64)),
-                 pa.array(flat(sizes, np.int64).astype(np.int32)), prefix],
-                ["doc_id", "k", "node", "fp", "n", "prefix"],
+                 pa.array(flat(sizes, np.int64).astype(np.int32)), prefix, *parities],
+                ["doc_id", "k", "node", "fp", "n", "prefix", "parity", "short"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", shared.row_key(docs).alias("k"), "text").mapInArrow(
-        run, f"doc_id {kind}, k long, node long, fp long, n int, prefix array<long>"
+        run, f"doc_id {kind}, k long, node long, fp long, n int, prefix array<long>, parity array<long>, short array<long>"
     )
 
 
@@ -373,9 +403,16 @@ def _texts(docs: DataFrame, ends: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """Staged: a, b: the pairs of nodes whose sets are 0.8 similar, counted member by member.
 
-    A text meets those of all its partners in one place, or in several if they are many.
+    Pairs whose parities differ in too many bits for that are dropped first, so that no text is fetched for them. A text
+    meets those of all its partners in one place, or in several if they are many.
     """
-    pairs = stage(pairs.select("a", "b").distinct(), "candidates")
+    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
+    met = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "met")
+    few = classes.join(shared.bounded(met), "node", "left_semi")
+    of = lambda x: few.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"parity_{x}"))
+    close = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("differ", _differ("parity_a", "parity_b")).filter(DIFFER)
+    every, pairs = pairs, stage(close.select("a", "b"), "candidates")
+    release(every, met)
     texts = _texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), classes)
     sized = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b")
     load = stage(sized.groupBy("a").agg(F.sum("n").alias("n")).withColumn("parts", F.floor(F.col("n") / CHECKED) + 1), "load")
@@ -418,8 +455,8 @@ def _alike(buckets: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     links. Then, in two turns, each set meets some of its bucket that are not in its component yet, others in every
     bucket, and at last all pairs of a bucket are taken whose sets are in different components still. At the first member that two
     similar sets share, neither has fewer members left than they must have in common; so at each place of a prefix there
-    is a largest size of a partner (`most`), and only sets whose sizes suit each other's places are paired. Their
-    common prefix members are counted before any text is fetched.
+    is a largest size of a partner (`most`), and only sets whose sizes suit each other's places are paired. The
+    buckets are released.
     """
     # `shared` prefix members in common; beyond the shorter prefix at most 0.8 n - 1 members follow
     likely = "9 * (shared + (4 * greatest(na, nb) + 4) div 5 - 1) >= 4 * (na + nb)"
@@ -432,39 +469,47 @@ def _alike(buckets: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     )
     links = _verified(leading.union(equal).union(near.select("a", "b")), docs, classes, shingle)
 
-    def open_buckets() -> DataFrame:
-        """Staged: the sets of buckets with several components."""
-        c = buckets.select("h", "node", "n", "most").join(components(links), "node", "left")
-        c = c.withColumn("component", F.coalesce("component", "node"))
-        parted = c.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-        return stage(c.join(parted, "h"), "open")
-
-    def checked(c: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b, na, nb); their common prefix members are counted before any text is fetched."""
-        pairs = stage(pairs.distinct(), "pairs")
-        counted = pairs.join(c.select(F.col("node").alias("a"), "h"), "a").join(c.select(F.col("node").alias("b"), "h"), ["b", "h"])
-        counted = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(likely)
-        found = _verified(counted, docs, classes, shingle)
-        release(c, pairs)
-        return found
+    def open_buckets(c: DataFrame) -> DataFrame:
+        """Staged: the sets of those buckets of c with several components, with `largest` and `many` of a bucket; c is released."""
+        now = c.select("h", "node", "n", "most").join(components(links), "node", "left")
+        now = now.withColumn("component", F.coalesce("component", "node")).repartition("h")
+        # the aggregate takes every column, so that it and the join below share one shuffle
+        parted = now.groupBy("h").agg(
+            F.min(F.struct("component", "node", "n", "most")).alias("lo"), F.max("component").alias("hi"),
+            F.max("n").alias("largest"), F.count("*").alias("many"),
+        )
+        out = stage(now.join(parted.filter("lo.component <> hi").select("h", "largest", "many"), "h"), "open")
+        release(c)
+        return out
 
     suits = "ca <> cb AND na <= nb AND nb <= ma AND na <= mb AND (na < nb OR a < b)"
     named = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("component").alias(f"c{x}")]
+    c = buckets
     for turn, meetings in enumerate(TURNS):  # each set and some of its bucket, others in every bucket and turn
-        c = open_buckets()
+        c = open_buckets(c)
+        dealt = c.select("h", "node", "n", "most", "component").repartition("h")
         drawn = [F.min_by(F.struct("node", "n", "most", "component"), F.xxhash64("node", "h", F.lit(turn + 10 * i))) for i in range(meetings)]
-        met = c.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("met"))
-        one = c.join(met, "h").withColumn("met", F.explode("met")).filter("component <> met.component")
+        met = dealt.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("met"))
+        one = dealt.join(met, "h").withColumn("met", F.explode("met")).filter("component <> met.component")
         other = [F.col("met.node").alias("b"), F.col("met.n").alias("nb"), F.col("met.most").alias("mb"), F.col("met.component").alias("cb")]
         one = one.select(*named("a"), *other).filter("nb <= ma AND na <= mb")
-        turned = one.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
-        pairs = one.select("a", "b", "na", "nb").unionByName(turned).filter("a < b")
-        links = links.union(checked(c, pairs))
-    c = open_buckets()
-    band = lambda size: F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
-    smaller = c.select("h", *named("a")).filter("na <= ma").withColumn("band", F.explode(F.sequence(band(F.col("na")), band(F.col("ma")))))
-    larger = c.select("h", *named("b")).withColumn("band", band(F.col("nb")))
-    return links.union(checked(c, smaller.join(larger, ["h", "band"]).filter(suits).select("a", "b", "na", "nb")))
+        links = links.union(_verified(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, classes, shingle))
+    c = open_buckets(c)
+
+    def paired(c: DataFrame, width: float, *own: str) -> DataFrame:
+        """The pairs of each bucket that may be similar by their sizes, with these columns of both sets."""
+        band = lambda size: F.floor(F.log(size) / F.log(F.lit(width))).cast("int")
+        of = lambda x: named(x) + [F.col(column).alias(f"{column}_{x}") for column in own]
+        smaller = c.select("h", "largest", *of("a")).filter("na <= ma")
+        smaller = smaller.withColumn("band", F.explode(F.sequence(band(F.col("na")), band(F.least("ma", "largest"))))).drop("largest")
+        return smaller.join(c.select("h", *of("b")).withColumn("band", band(F.col("nb"))), ["h", "band"]).filter(suits)
+
+    crowd = c.filter(F.col("many") >= CROWDED).join(classes.select("node", "short"), "node")
+    told = paired(crowd, WIDE, "short").withColumn("differ", _differ("short_a", "short_b")).filter(DIFFER)
+    pairs = paired(c.filter(F.col("many") < CROWDED), BAND).select("a", "b").unionByName(told.select("a", "b"))
+    links = links.union(_verified(pairs, docs, classes, shingle))
+    release(c)
+    return links
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -476,15 +521,16 @@ def similar_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     sets = stage(shingle_sets(docs, shingle, _frequent(docs, shingle)), "sets")
     rows = stage(sets.select("doc_id", "k", "node"), "rows")
-    classes = stage(sets.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("k").alias("of")), "classes")
+    first = [F.first(c).alias(c) for c in ("fp", "n", "parity", "short")]
+    classes = stage(sets.groupBy("node").agg(*first, F.min("k").alias("of")), "classes")
     entries = sets.select("node", "n", F.posexplode("prefix").alias("p", "h"))
-    entries = entries.select("h", "node", "n", F.expr("CAST((9 * (n - p) - 4 * n) div 4 AS INT)").alias("most"))
-    lead = entries.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).filter("lead.node <> top")
+    entries = entries.select("h", "node", "n", F.expr("CAST((9 * (n - p) - 4 * n) div 4 AS INT)").alias("most")).repartition("h")
+    # the aggregate takes every column, so that it and the join below share one shuffle
+    lead = entries.groupBy("h").agg(F.min(F.struct("node", "n", "most")).alias("lead"), F.max("node").alias("top")).filter("lead.node <> top")
     buckets = entries.join(lead, "h").select("h", "node", "n", "most", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
     buckets = stage(buckets.dropDuplicates(["h", "node"]), "buckets")
     release(sets)
     alike = _alike(buckets, docs, classes, shingle)
-    release(buckets)
     return _with_components(rows, alike).select("doc_id", "component_id", "k")
 
 

@@ -18,3 +18,46 @@ def test_walk_holds_few_node_pairs():
     tracemalloc.stop()
     assert links >= 60_000
     assert peak < 64 << 20
+
+
+def set_bits(rng, n, common):
+    """Two sets of n hashes with this many in common, and their parities."""
+    x, y = (rng.integers(0, 2**64, n, dtype=np.uint64) for _ in "ab")
+    y[:common] = x[:common]
+    h = np.concatenate((x, y))
+    return simhash._parities(h, np.array([n, n]))
+
+
+def test_parities_never_differ_in_more_bits_than_members():
+    rng = np.random.default_rng(2)
+    for n in (1, 31, 32, 33, 100, 129, 1000):
+        for common in (0, n // 2, (9 * n) // 10, n):
+            bits, words = set_bits(rng, n, common)
+            assert words[0] == words[1] and 64 * words[0] >= 2 * n and len(bits) == words.sum()
+            differ = int(np.bitwise_count(bits[: words[0]] ^ bits[words[0] :]).sum())
+            assert differ <= 2 * (n - common) and (n < 100 or common > n // 2 or 9 * differ > 2 * n)
+
+
+def family(spark, texts):
+    """Texts with 100 words of one licence and 18 own ones each: no two are 0.8 similar, but all share much."""
+    licence = " ".join(f"w{i}" for i in range(100))
+    rows = [(k, licence + " " + " ".join(f"own{k}x{i}" for i in range(18))) for k in range(texts)]
+    rows += [(texts + k, t + " end") for k, t in rows[:3]]  # similar to the first three
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pairs_that_parities_tell_apart_are_not_written(spark, monkeypatch):
+    """A family of texts that are just not similar costs rows in proportion to its size, not to its square."""
+    staged, plain = {}, simhash.stage
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        staged.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    texts = 90
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(family(spark, texts)).collect()}
+    assert got == {k: k % texts for k in range(texts + 3)}
+    assert max(staged["pairs"][1:]) <= 12 * texts  # all pairs: 4,005
+    assert sum(staged["candidates"]) <= 20  # only texts of these are fetched
