@@ -15,9 +15,9 @@ from pagetide.session import stage
 
 
 def wide_rows(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows and 8 MB from now on; results do not depend on them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of at most 250 rows and 2 MB from now on; results do not depend on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +64,14 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids; round_trip says that the ids decode to the text again.
 
-    A column of the documents that is named like one that is added here is returned as own_ and its name.
+    A column of the documents that is named like one that is added here is returned as own_ and its name. The ids are
+    written before they are decoded, so that a task has one Python worker at a time; workers stay for the jobs after.
     """
     wide_rows(spark)
     known = pieces.load()
     given, own = aside(docs, "ids", "n_ids", "chunks", "round_trip", "uid", "decoded")
-    decoded = pieces.decode(pieces.encode(given, known), known)
+    encoded = stage(pieces.encode(given, known), "ids")
+    decoded = pieces.decode(encoded, known)
     out = decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
     return out.withColumnsRenamed({own[c]: c for c in ("uid", "decoded") if c in own})
 

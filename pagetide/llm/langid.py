@@ -27,7 +27,7 @@ from pagetide.session import stage
 ORDER = 4
 PAD, SPACE = 1, 32
 CHARS = 1 << 18  # characters that numpy looks at together
-PENDING = 1_000_000  # counted grams a task holds before it sends them on
+PENDING = 250_000  # counted grams a task holds before it sends them on
 SLACK = 1.0  # a text is rejected above q999 + SLACK * (q999 - median) of its language
 U = np.uint64
 

@@ -31,8 +31,8 @@ from pagetide.session import release, stage
 
 LEAVES = 120_000  # leaves of a node pair that one task takes
 STEP = 4  # bits a round
-SLICE = 1 << 19  # bytes of text whose shingles a task holds together
-STATES = 1 << 16  # node pairs that a task expands together
+SLICE = 1 << 16  # bytes of text whose shingles a task holds together; their arrays are many times as large
+STATES = 1 << 14  # node pairs that a task expands together
 U = np.uint64
 
 

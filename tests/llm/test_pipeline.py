@@ -40,3 +40,11 @@ def test_own_columns_with_clashing_names(spark):
     names = [f"own_{c}" if c in ("ids", "n_ids", "chunks", "round_trip") else c for c in extra]
     assert known(coded, names) == own
     assert known(coded, ["round_trip"]) == {i: (True,) for i in range(4)} and known(coded, ["chunks"])[1][0] > 1
+
+
+def test_ids_and_their_texts_take_one_python_worker_a_task(spark):
+    """No task makes ids and decodes them at once: its two workers would stay idle on the executor for later stages."""
+    docs = spark.createDataFrame([(i, f"a few words {i}") for i in range(20)], "doc_id long, text string")
+    coded = corpus_pipeline.token_ids(spark, docs, "")
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert coded.filter("round_trip AND n_ids > 0").count() == 20

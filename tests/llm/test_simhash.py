@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from pagetide.llm import simhash
 
@@ -20,6 +21,34 @@ def test_walk_holds_few_node_pairs():
     assert peak < 64 << 20
 
 
+def test_walk_takes_less_than_16_mb():
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, 2**64, 60_000, dtype=np.uint64)
+    leaves = np.unique(np.concatenate((own, own ^ (np.uint64(1) << rng.integers(0, 64, len(own), dtype=np.uint64)))))
+    assert peak_of(lambda: sum(len(i) for i, _ in simhash._walk(leaves, leaves, True, 64, 2))) < 16 << 20
+
+
+def peak_of(work) -> int:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_sets_of_few_texts_are_held_together():
+    """Making the sets of 4 MB of text takes a few MB beside the text."""
+    texts = pa.array([" ".join(f"w{(i * k) % 9973}" for k in range(500)) for i in range(1, 1601)], pa.large_string())
+    assert texts.nbytes > 4 << 20
+
+    def work():
+        for h, n in simhash._members(texts, 5):
+            simhash._majority(h, n, 1)
+            simhash._parities(h, n)
+
+    assert peak_of(work) < 8 << 20
+
+
 def set_bits(rng, n, common):
     """Two sets of n hashes with this many in common, and their parities."""
     x, y = (rng.integers(0, 2**64, n, dtype=np.uint64) for _ in "ab")
